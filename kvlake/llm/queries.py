@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, near_dedup, packing, secrets, sharding, substring
+from . import exact_dedup, langid, lm, mixing, near_dedup, packing, secrets, sharding, substring, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,17 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every row whose id is divisible by 100, against all rows."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -56,7 +67,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_near_dedup, op3_exact_dedup, op4_sharding, op5_langid, op6_mixing, op9_packing, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_near_dedup, op3_exact_dedup, op4_sharding, op5_langid, op6_mixing, op7_topk, op8_lm_score, op9_packing, op10_secrets)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -65,4 +76,9 @@ ORACLES = {
         with d as (select doc_id, sha256({LOWERED}) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)""",
+    "op7_topk": f"""
+        with codes as (select vec_id, list_reduce(list_transform(range(1, 65), lambda i: if(embedding[i] > 0, '1', '0')), lambda a, b: a || b)::bit as code from embeddings),
+        pairs as (select q.vec_id as query_id, d.vec_id, bit_count(xor(q.code, d.code))::int as distance from codes q, codes d where q.vec_id % 100 = 0),
+        ranked as (select *, row_number() over (partition by query_id order by distance, vec_id)::int as rank from pairs)
+        select query_id, rank, vec_id, distance from ranked where rank <= 10""",
 }
