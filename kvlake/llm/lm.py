@@ -29,8 +29,8 @@ class Config:
     classes: int = 64
     reach: int = 2
     rounds: int = 2
-    step: float = 0.5
-    chunk: int = 4096
+    step: float = 1.0
+    chunk: int = 1024
 
 
 def neighbours(words: np.ndarray, first: np.ndarray, c: Config) -> np.ndarray:

@@ -6,7 +6,8 @@ targets these lie closest, in (Fermi) entropy, to half of ``most`` for all. The
 convex; it is solved by distributed Newton iterations, each one aggregation over the counts of
 (source, size), which hold the same sums as the documents and are far fewer. Each lambda stays in a
 bracket, so the iteration can't diverge. Rates become whole copies by error diffusion from the
-largest document to the smallest, in salted blocks of bounded size.
+largest document to the smallest, in salted blocks of bounded size; what is left over in a block is
+mended by single changes.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,13 +59,21 @@ def _rates(lam: dict[str | None, float], mean: dict, most: float) -> F.Column:
 def _round(most: float):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h"], ascending=[False, True], kind="stable")
-        copies, err = [], 0.0
-        for size, rate in zip(pdf["size"].tolist(), pdf["rate"].tolist()):
+        sizes, copies, err = pdf["size"].to_numpy(), [], 0.0
+        for size, rate in zip(sizes.tolist(), pdf["rate"].tolist()):
             want = rate * size + err
-            c = min(math.ceil(rate - 1e-12), max(math.floor(rate + 1e-12), round(want / size))) if size else round(rate)
-            c = int(min(most, max(0, c)))
-            err = want - c * size
+            c = int(min(most, max(0, round(want / size)))) if size else 1
+            err = want - c * size if size else err
             copies.append(c)
+        copies = np.array(copies, np.int32)
+        for _ in range(64):  # what is left over: the one change of one document that mends most of it
+            room = copies < most if err > 0 else copies > 0
+            miss = np.where(room & (sizes > 0), np.abs(abs(err) - sizes), np.inf)
+            k = int(miss.argmin())
+            if miss[k] >= abs(err):
+                break
+            copies[k] += 1 if err > 0 else -1
+            err -= sizes[k] if err > 0 else -sizes[k]
         return pdf.assign(copies=copies)[["ident", "source", "size", "copies"]]
 
     return block
