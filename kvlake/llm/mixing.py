@@ -79,7 +79,7 @@ def _round(most: float):
     return block
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, block_rows: int = 50_000, max_sources: int = 100_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple = WEIGHTS, block_rows: int = 2_000, max_sources: int = 100_000) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken, copies.
 
     Size: words of the text (null: 0). copies is 0, 1 or 2 (most), taken = copies * size. A document
