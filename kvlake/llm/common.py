@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, in Java's, RE2's and Python's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +67,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def split_join(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
+    """rows joined with an aggregate of them by the same key. With the key's hash as a second key the
+    aggregate is dealt once more, both sides come from exchanges of the join's own, and adaptive
+    execution can split the partition of a hot key."""
+    a, b = rows.withColumn("__h", F.xxhash64(key)), grouped.withColumn("__h", F.xxhash64(key))
+    return a.join(b, [key, "__h"]).drop("__h")
+
+
 # --- words and hashes of many texts at once, in numpy ---------------------------------------
 
 _SPACE = np.zeros(256, bool)

@@ -2,10 +2,12 @@
 star-shaped candidate edges, verification on full shingle sets, connected components.
 
 Documents with equal shingle sets are one class from the start, so exact copies cost one row each. Every
-bucket first links its members to its smallest one only. A star can miss a link between two members that
-the centre isn't linked with; so, until no bucket holds two components with pairs untried, further
-members become centres, more in each round, and are tried against the members in other components. In
-the end every pair that shares a bucket was verified, or lies in one component anyway: no cap drops any.
+bucket first links its members to its smallest one only: a star has one edge less than members. Edges are
+verified on the full sets. A star can miss a link between two members that the centre isn't linked with,
+so buckets that hold more than one component after that are searched once more: the members outside the
+bucket's main component ask all its members, in blocks of bounded size, on full sets, and each reports one
+link for each other component at most. Every pair that shares a bucket was thus verified, or lies in one
+component anyway; no pair of a group is ever written down unless it is a star's edge or a link.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, text_slices, word_hashes
+from .common import Scratch, mix, split_join, text_slices, word_hashes
 
 #: 60 bands of 6 rows: a pair at similarity 0.8 shares no bucket with a chance of (1 - 0.8^6)^60 = 1e-8.
 BANDS, ROWS = 60, 6
+#: Elements of the sets in one block of a bucket.
+BLOCK = 1 << 17
 
 
 def shingle_sets(batch: pa.RecordBatch, column: str, width: int) -> Iterator[np.ndarray]:
@@ -115,6 +119,83 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, items array<long>")
 
 
+def _linked(asks: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int, columns: int = 4096) -> Iterator[tuple[int, int]]:
+    """Of one block of a bucket: for each row that asks and each other component with a row similar
+    enough, the most similar such row. Counts common elements by a product of incidence matrices, in
+    strips of columns; elements of one set alone are left out beforehand."""
+    sizes = np.array([len(x) for x in sets])
+    who = np.repeat(np.arange(len(sets)), sizes)
+    _, what, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    stays = times[what] > 1
+    who, what = who[stays], number[what[stays]]
+    order = np.argsort(what, kind="stable")
+    who, what = who[order], what[order]
+    asking, there = np.flatnonzero(asks), np.flatnonzero(~asks)
+    if not len(asking) or not len(there):
+        return
+    for at in range(0, len(asking), 512):
+        mine = asking[at : at + 512]
+        common = np.zeros((len(mine), len(there)), np.float32)
+        place = np.full(len(sets), -1)
+        place[mine], other = np.arange(len(mine)), np.full(len(sets), -1)
+        other[there] = np.arange(len(there))
+        for lo in range(0, int(what[-1]) + 1 if len(what) else 0, columns):
+            x, y = np.searchsorted(what, [lo, lo + columns])
+            w, c = who[x:y], what[x:y] - lo
+            left, right = np.zeros((len(mine), columns), np.float32), np.zeros((len(there), columns), np.float32)
+            m = place[w] >= 0
+            left[place[w[m]], c[m]] = 1
+            m = other[w] >= 0
+            right[other[w[m]], c[m]] = 1
+            common += left @ right.T
+        union = sizes[mine][:, None] + sizes[there][None, :] - common
+        near = (common * 100 >= percent * union) & (component[mine][:, None] != component[there][None, :])
+        for r in np.flatnonzero(near.any(axis=1)):
+            best: dict = {}
+            for c in np.flatnonzero(near[r]):
+                key = component[there[c]]
+                if key not in best or common[r, c] / union[r, c] > best[key][0]:
+                    best[key] = (common[r, c] / union[r, c], there[c])
+            for _, c in best.values():
+                yield mine[r], c
+
+
+def _across(percent: int):
+    """Rows sorted by (bucket, i, j): the links between components within each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            flat = t.column("items").combine_chunks()
+            flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+            ends, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            sets = [values[ends[i] : ends[i + 1]] for i in range(len(t))]
+            ids = t.column("id").combine_chunks()
+            asks, component = t.column("asks").to_numpy(), t.column("component").to_numpy()
+            got = list(_linked(asks, component, sets, percent)) if len(t) > 1 else []
+            a, b = (ids.take(pa.array([g[k] for g in got], pa.int64())) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                key = tuple(keys[:, x].tolist())
+                if last is not None and key != last:
+                    yield done()
+                    held = []
+                last = key
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield done()
+
+    return run
+
+
 def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame:
     """edges: a, b. Returns id, component (the smallest id reachable) for every id on an edge, by
     alternating large-star and small-star rounds, each written to the shared folder."""
@@ -123,10 +204,10 @@ def components(edges: DataFrame, scratch: Scratch, tag: str = "cc") -> DataFrame
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = split_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = scratch.save(large.where("u <> v").distinct(), f"{tag}{k}l")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = split_join(large, least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = scratch.save(small.where("u <> v").distinct(), f"{tag}{k + 1}")
         same = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first() == pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         scratch.drop(f"{tag}{k}", f"{tag}{k}l")
@@ -152,11 +233,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = usable.join(classes, [usable["name"] == classes["name"], usable["id"] == classes["rep"]]).select("id", "n", "keys")
     members = reps.select("id", "n", F.explode("keys").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("many"), F.min("id").alias("centre")).where("many > 1")
-    bucket = scratch.save(members.join(shared, "bucket"), "buckets")
+    bucket = scratch.save(split_join(members, shared, "bucket"), "buckets")
     near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     size = bucket.select("id", "n").distinct()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def verified(pairs: DataFrame, tag: str) -> DataFrame:
         """Of pairs (a, b), written: those whose full sets are similar enough."""
@@ -174,27 +256,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = stars.join(size.select(F.col("id").alias("a"), "n"), "a").where(near(F.col("m"), F.col("n"))).select("a", "b")
     tried = scratch.save(stars, "tried0")
     links = verified(tried, "0")
-    share, k = 4.0, 1
-    while True:
-        label = scratch.save(components(links, scratch, f"cc{k}_"), f"label{k}")
-        held = bucket.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = held.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-        open_ = scratch.save(held.where("many > 2").join(mixed, "bucket", "left_semi").select("bucket", "id", "n", "many", "component"), f"open{k}")
-        most = open_.agg(F.max("many")).first()[0]
-        if not most:
-            break
-        pick = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) / float(1 << 20) < F.lit(share) / F.col("many")
-        heads = open_.where(pick).select("bucket", F.col("id").alias("c"), F.col("n").alias("m"), F.col("component").alias("cc"))
-        pairs = open_.join(heads, "bucket").where((F.col("component") != F.col("cc")) & near(F.col("n"), F.col("m")))
-        pairs = pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs, f"tried{k}")
-        if pairs.take(1):
-            links = links.union(verified(pairs, str(k)))
-            tried = tried.union(pairs)
-        if share >= most:
-            label = scratch.save(components(links, scratch, f"cc{k}e_"), f"label{k}e")
-            break
-        share, k = share * 8, k + 1
+    label = scratch.save(components(links, scratch, "cc1_"), "label1")
+    held = bucket.where("many > 2").join(label, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    per = held.groupBy("bucket", "component").agg(F.sum("n").alias("own"))
+    main = per.groupBy("bucket").agg(F.max_by("component", F.struct("own", "component")).alias("main"), F.sum("own").alias("all"), F.max("own").alias("most")).where("all > most")
+    main = scratch.save(main.withColumn("rest", F.col("all") - F.col("most")), "main")
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+    own = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    mixed = scratch.save(held.join(main, "bucket").select("bucket", "id", "component", "main", "all", "rest"), "mixed")
+    rows_ = mixed.select("bucket", "id", "component", every("rest").alias("i"), own("all").alias("j"), F.lit(False).alias("asks"))
+    rows_ = rows_.union(mixed.where("component <> main").select("bucket", "id", "component", own("rest").alias("i"), every("all").alias("j"), F.lit(True).alias("asks")))
+    sets = scratch.save(_sets(texts.join(mixed.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id"]), "sets1")
+    rows_ = rows_.join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = scratch.save(rows_.select("bucket", "i", "j", "asks", "id", "component", "items").mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "links1")
+    scratch.drop("sets1", "mixed", "main")
+    label = scratch.save(components(links.union(more), scratch, "cc2_"), "label2")
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     out = table.select("id", "n", "name").join(named, "name", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

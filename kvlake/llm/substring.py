@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, text_slices, word_hashes
+from .common import Scratch, mix, split_join, text_slices, word_hashes
 
 
 def _rolled(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -152,7 +152,7 @@ class WindowIndex:
         for old in self.runs:
             entries = entries.unionByName(old.withColumn("fresh", F.lit(0)))
         twice = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max("fresh").alias("f")).where("n > 1 and f = 1").select("fp")
-        active = entries.join(twice, "fp").groupBy("id").agg(F.collect_set("pos").alias("active"))
+        active = split_join(entries, twice, "fp").groupBy("id").agg(F.collect_set("pos").alias("active"))
         active = s.save(active, f"active{k}")
         windows = s.save(self._windows(store.join(active, "id").select("id", "text", "active")), f"windows{k}")
         first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
