@@ -240,22 +240,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        """Of pairs (a, b), written: those whose full sets are similar enough."""
-        ids = scratch.save(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"ids{tag}")
-        sets = scratch.save(_sets(texts.join(ids, "id", "left_semi"), width).dropDuplicates(["id"]), f"sets{tag}")
-        left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-        right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        ok = pairs.join(right, "b").join(left, "a").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent)
-        ok = scratch.save(ok.select("a", "b"), f"links{tag}")
-        scratch.drop(f"ids{tag}", f"sets{tag}")
-        return ok
+    # the plan is the same at every size: the ids grow with the documents and aren't broadcast
+    wanted = scratch.save(bucket.select("id").distinct(), "ids")
+    sets = scratch.save(_sets(texts.join(wanted.hint("merge"), "id", "left_semi"), width).dropDuplicates(["id"]), "sets")
 
     stars = bucket.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.col("n").alias("m")).distinct()
     stars = stars.join(size.select(F.col("id").alias("a"), "n"), "a").where(near(F.col("m"), F.col("n"))).select("a", "b")
-    tried = scratch.save(stars, "tried0")
-    links = verified(tried, "0")
+    common = F.size(F.array_intersect("x", "y"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    links = stars.join(right, "b").join(left, "a").where(common * 100 >= (F.size("x") + F.size("y") - common) * percent)
+    links = scratch.save(links.select("a", "b"), "links0")
     label = scratch.save(components(links, scratch, "cc1_"), "label1")
     held = bucket.where("many > 2").join(label, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
     per = held.groupBy("bucket", "component").agg(F.sum("n").alias("own"))
@@ -267,10 +261,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = scratch.save(held.join(main, "bucket").select("bucket", "id", "component", "main", "all", "rest"), "mixed")
     rows_ = mixed.select("bucket", "id", "component", every("rest").alias("i"), own("all").alias("j"), F.lit(False).alias("asks"))
     rows_ = rows_.union(mixed.where("component <> main").select("bucket", "id", "component", own("rest").alias("i"), every("all").alias("j"), F.lit(True).alias("asks")))
-    sets = scratch.save(_sets(texts.join(mixed.select("id").distinct(), "id", "left_semi"), width).dropDuplicates(["id"]), "sets1")
     rows_ = rows_.join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = scratch.save(rows_.select("bucket", "i", "j", "asks", "id", "component", "items").mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "links1")
-    scratch.drop("sets1", "mixed", "main")
+    scratch.drop("sets", "mixed", "main", "buckets")
     label = scratch.save(components(links.union(more), scratch, "cc2_"), "label2")
     named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     out = table.select("id", "n", "name").join(named, "name", "left")

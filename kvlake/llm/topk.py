@@ -10,6 +10,7 @@ smallest ids, so a very common vector costs one row in each bucket, not one for
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,12 +38,17 @@ def flips(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in bs) for bs in itertools.combinations(range(width), radius)]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, segments: int = 8) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, segments: int | None = None) -> DataFrame:
     """For each query its k nearest rows: query_id, rank (from 1), id, distance (bits that differ).
 
     Ties go to the smaller id; a query that is itself a row finds itself. Fewer rows than k give fewer
     results. Rows and queries without a vector or an id are left out; repeated ids count once per code.
-    Queries with equal codes are searched for once. bits must be a multiple of segments."""
+    Queries with equal codes are searched for once. bits must be a multiple of segments; without segments
+    their width is the divisor of bits, up to 16, next to the logarithm of the number of rows, at which a
+    segment's value finds about one row by chance."""
+    if segments is None:
+        n = math.log2(max(2, vectors.count()))
+        segments = min((bits // w for w in range(1, min(bits, 16) + 1) if bits % w == 0), key=lambda m: abs(bits // m - n))
     if bits % segments:
         raise ValueError("bits must be a multiple of segments")
     width, spark = bits // segments, vectors.sparkSession
@@ -65,7 +71,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         probes = open_.select("q", F.posexplode("q").alias("part", "at")).select("q", "part", F.explode(masks).alias("mask"), "at")
         probes = probes.select("q", "part", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
         hits = probes.join(buckets, ["part", "value"]).select("q", "segs", "ids").dropDuplicates(["q", "segs"])
-        new = hits.select("q", distance.alias("distance"), F.explode("ids").alias("id"))
+        nearest = Window.partitionBy("q").orderBy("distance", F.get("ids", F.lit(0)))
+        hits = hits.select("q", distance.alias("distance"), "ids").withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k)
+        new = hits.select("q", "distance", F.explode("ids").alias("id"))
         best = new if found is None else new.union(found.join(open_, "q", "left_semi")).distinct()
         order = Window.partitionBy("q").orderBy("distance", "id")
         best = s.save(best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"found{radius}")

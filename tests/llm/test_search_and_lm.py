@@ -10,7 +10,7 @@ def brute(vectors, asked, k):
     return {(q, n + 1): (i, d) for q in asked for n, (d, i) in enumerate(sorted((int((bits[q] != b).sum()), i) for i, b in bits.items())[:k])}
 
 
-@pytest.mark.parametrize("segments", [2, 4, 8])
+@pytest.mark.parametrize("segments", [None, 2, 4, 8])
 def test_top_k(spark, segments):
     r = np.random.default_rng(4)
     vectors = {i: r.normal(size=16).tolist() for i in range(200)}
