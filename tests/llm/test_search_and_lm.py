@@ -17,7 +17,7 @@ def test_top_k(spark, segments):
     for i in range(200, 280):
         vectors[i] = vectors[7]  # a third of the rows share one code
     df = spark.createDataFrame([(i, v) for i, v in vectors.items()], "vec_id long, embedding array<float>").repartition(3)
-    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5, bits=16, segments=segments).collect()
+    got = topk.top_k(df, df.where("vec_id % 20 = 0"), k=5, bits=16, segments=segments, entry_block=50, query_block=6).collect()
     assert {(x.query_id, x["rank"]): (x.vec_id, x.distance) for x in got} == brute(vectors, range(0, 280, 20), 5) and len(got) == 14 * 5
 
 
