@@ -9,6 +9,7 @@ piece is given back if two unpacked pieces fill the gap it leaves more tightly.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,12 +24,15 @@ from .common import Scratch
 # in their vocabularies; the other bytes stand, in order, as the characters from 256 on.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = (*range(33, 127), *range(161, 173), *range(174, 256))
+#: The last but one branch of PATTERN goes back through white space: from some length of a run on, tiktoken's
+#: stack overflows. Python's white space holds all of tiktoken's.
+LONG_BLANK = re.compile(r"(?<!\s)\s{1000}")
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer file. For a plain byte-level BPE whose merges are in the order of
     its ids, as in the files of public models, tiktoken gives the same ids several times faster; any other
-    file is left to tokenizers."""
+    file is left to tokenizers, and so are texts with very long runs of white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,7 +61,8 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        return self.fast.encode_ordinary(text) if self.fast else self.tok.encode(text, add_special_tokens=False).ids
+        fast = self.fast and not LONG_BLANK.search(text)
+        return self.fast.encode_ordinary(text) if fast else self.tok.encode(text, add_special_tokens=False).ids
 
 
 _ENCODERS: dict[str, Encoder] = {}

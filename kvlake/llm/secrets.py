@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,11 +48,13 @@ class Novelty:
         return len(self.zip.compress(around + candidate)) - len(self.zip.compress(around))
 
     def spans(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        out = []
+        out, taken, furthest = [], sorted(taken), [0]
+        for _, y in taken:
+            furthest.append(max(furthest[-1], y))
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
             s = m[0]
-            if any(x < b and a < y for x, y in taken) or not SENSITIVE.search(text, max(0, a - 48), a) or len(set(s)) < 8:
+            if furthest[bisect_left(taken, (b,))] > a or not SENSITIVE.search(text, max(0, a - 48), a) or len(set(s)) < 8:
                 continue
             if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
                 continue

@@ -197,7 +197,7 @@ def test_encoder_is_exact(spark):
     enc = packing.Encoder(queries.tokenizer_path())
     assert enc.fast
     more = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    for t in ["", " ", "a  b", " a\n\n b \t", "x y  z　\u0085 w", "it's\x1c odd \x1f", "<|endoftext|> 1 23,4!!  ", "a\r\n\r\n  b", "  lead", "trail  \n ", "d'été où «ça»", "👍🏽 ok", "a\u2028b\u00a0 c", "½²٣x", *more]:
+    for t in ["", " ", "a  b", " a\n\n b \t", "x y  z　\u0085 w", "it's\x1c odd \x1f", "<|endoftext|> 1 23,4!!  ", "a\r\n\r\n  b", "  lead", "trail  \n ", "d'été où «ça»", "👍🏽 ok", "a\u2028b\u00a0 c", "½²٣x", "a" + " " * 999 + "b", "a" + " \n" * 300_000 + "b", "\n" * 200_000, *more]:
         assert enc(t) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
