@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import applied, number_in, record_size
+from ..sources.shared import written
 
 
 def with_running_max(df: DataFrame, column: str, order: str, block: int, name: str) -> DataFrame:
@@ -31,10 +32,12 @@ def replay(log: DataFrame, applied_until: int, order: str = "pos", block: int =
 
 
 def append(log_end: int, batch: DataFrame, order: list[str]) -> DataFrame:
-    """Gives the batch the sequences after log_end, in the given order: rows are counted per partition of a
-    range sort first, so that no task numbers them all."""
+    """Gives the batch the sequences after log_end, in the given order: rows are numbered within the
+    partitions of a range sort, which is written, and move up by the counts of the partitions before."""
     spark = batch.sparkSession
-    placed = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).persist()
+    number = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
+    placed = written(batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", number), "append")
+    placed = placed.select("*", F.shiftright("__m", 33).cast("int").alias("__p"))
     counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, log_end
     for p in sorted(counts):
@@ -43,8 +46,8 @@ def append(log_end: int, batch: DataFrame, order: list[str]) -> DataFrame:
     if not offsets:
         return batch.withColumn("seq", F.lit(None).cast("long"))
     first = spark.createDataFrame(list(offsets.items()), "__p int, __o long")
-    inside = Window.partitionBy("__p").orderBy(*order)
-    return placed.join(F.broadcast(first), "__p").withColumn("seq", F.col("__o") + F.row_number().over(inside)).drop("__p", "__o")
+    inside = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.join(F.broadcast(first), "__p").withColumn("seq", F.col("__o") + inside).drop("__p", "__o", "__m")
 
 
 def seq_violations(log: DataFrame, order: str = "pos", block: int = 1_000_000) -> DataFrame:
@@ -52,6 +55,18 @@ def seq_violations(log: DataFrame, order: str = "pos", block: int = 1_000_000) -
     return with_running_max(log, "seq", order, block, "prev").where("seq < prev")
 
 
+def verify(log: DataFrame) -> DataFrame:
+    """log: start_seq (of the segment) and seq. One row per segment: start_seq, records, last_seq. A segment
+    that doesn't begin with the record it is named by, has gaps or repeats, or isn't followed by the next
+    one, is an error. The window runs over one row per segment."""
+    per = log.groupBy("start_seq").agg(F.count("*").alias("records"), F.count_distinct("seq").alias("__d"), F.min("seq").alias("__lo"), F.max("seq").alias("last_seq"))
+    following = F.lead("start_seq").over(Window.orderBy("start_seq"))
+    whole = (F.col("__lo") == F.col("start_seq")) & (F.col("records") == F.col("__d")) & (F.col("last_seq") - F.col("__lo") + 1 == F.col("records"))
+    whole = whole & F.coalesce(F.col("__next") == F.col("last_seq") + 1, F.lit(True))
+    broken = F.raise_error(F.concat(F.lit("the log is broken at "), F.col("start_seq"))).cast("long")
+    return per.withColumn("__next", following).select("start_seq", F.when(whole, F.col("records")).otherwise(broken).alias("records"), "last_seq")
+
+
 def list_segments(names: DataFrame) -> DataFrame:
     """Names wal-<n>.log with their start, by number; other names are left out."""
     return names.select("name", number_in(F.col("name"), "wal-", ".log").alias("start_seq")).where("start_seq is not null").orderBy("start_seq")

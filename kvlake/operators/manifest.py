@@ -82,15 +82,23 @@ class Manifest:
         return max((r["applied_until"] for r in self.runs), default=0)
 
     @staticmethod
-    def load(files: Files, folder: str) -> Manifest:
-        """Of the highest version; none yet: empty. A name whose number can't be read is an error."""
+    def load(files: Files, folder: str, version: int | None = None) -> Manifest:
+        """Of the given or the highest version; none yet: empty. A name whose number can't be read is an
+        error, and so is a version that isn't there."""
         found = []
         for name, _ in files.names(folder):
             if name.startswith("descriptor.") and not name.endswith(".tmp"):
                 found.append(int(name.removeprefix("descriptor.")))
+        if version is not None and version not in found:
+            raise FileNotFoundError(f"{folder}/descriptor.{version}")
         if not found:
             return Manifest()
-        return Manifest(max(found), json.loads(files.read(f"{folder}/descriptor.{max(found)}")))
+        version = max(found) if version is None else version
+        return Manifest(version, json.loads(files.read(f"{folder}/descriptor.{version}")))
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """version, place, run, applied_until: a row per run."""
+        return spark.createDataFrame([(self.version, i, r["run"], r["applied_until"]) for i, r in enumerate(self.runs)], "version long, place int, run string, applied_until long")
 
     def save(self, files: Files, folder: str) -> None:
         files.commit(f"{folder}/descriptor.{self.version + 1}", json.dumps(self.runs))

@@ -47,10 +47,12 @@ def point_get(df: DataFrame, key: str) -> DataFrame:
     return live_view(df.where(F.col("key") == key))
 
 
-def multi_get(df: DataFrame, probes: DataFrame) -> DataFrame:
-    """For each probe key: status, ts, value. Only probed keys go through the version choice."""
+def multi_get(df: DataFrame, probes: DataFrame, by_layer: bool = False) -> DataFrame:
+    """For each probe key: status, ts, value. Only probed keys go through the version choice, by layers or by
+    time alone."""
     asked = probes.select("key").distinct()
-    newest = live_view(df.join(asked, "key", "left_semi")).select("key", "ts", "value")
+    found = df.join(asked, "key", "left_semi")
+    newest = live(layered(found) if by_layer else latest_version(found)).select("key", "ts", "value")
     status = F.when(key_status(F.col("key")) != OK, key_status(F.col("key"))).when(F.col("value").isNull(), F.lit(NOT_FOUND)).otherwise(F.lit(OK))
     return probes.join(newest, "key", "left").withColumn("status", status)
 

@@ -46,6 +46,14 @@ def run_stats(df: DataFrame) -> DataFrame:
     return df.groupBy("run").agg(F.max("seq").alias("applied_until"), F.count("*").alias("records"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
 
 
+def list_blocks(df: DataFrame) -> DataFrame:
+    """df: runs as read from their files. One row per block that Spark reads in one piece: run, file,
+    first_byte, records, first_key, last_key."""
+    at = df.select("key", "_metadata.file_path", "_metadata.file_name", F.col("_metadata.file_block_start").alias("first_byte"))
+    at = at.withColumn("run", F.regexp_extract("file_path", "([^/]+)/[^/]+$", 1))
+    return at.groupBy("run", F.col("file_name").alias("file"), "first_byte").agg(F.count("*").alias("records"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
 def prefix_encode(df: DataFrame, by: str = "run", restart: int = RESTART) -> DataFrame:
     """Each run's distinct keys with the length they share with the key before, none at a restart."""
     order = Window.partitionBy(by).orderBy("key")

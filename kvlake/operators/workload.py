@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import log
+
 
 def count_and_rate(samples: DataFrame, seconds: float) -> DataFrame:
     return samples.agg(F.count("*").alias("requests"), (F.count("*").cast("double") / F.lit(float(seconds))).alias("per_second"), F.sum(F.when(F.col("error"), 1).otherwise(0)).cast("long").alias("errors"))
@@ -28,11 +30,11 @@ def false_positive_rate(probes: DataFrame) -> DataFrame:
 
 
 def paced_requests(keys: DataFrame, requests: int, per_second: float, workers: int, seed: int = 1) -> DataFrame:
-    """When each worker asks for which key: workers pace themselves from a random start."""
-    spark, every = keys.sparkSession, 1_000_000.0 * workers / per_second
-    n = keys.count()
-    numbered = keys.select("key").distinct().withColumn("h", F.pmod(F.xxhash64("key"), F.lit(max(n, 1))))
-    asked = spark.range(requests).select((F.col("id") % workers).alias("worker"), F.floor(F.col("id") / workers).alias("turn"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(n, 1))).alias("h"))
-    first = numbered.groupBy("h").agg(F.min("key").alias("key"))
-    start = F.pmod(F.xxhash64("worker", F.lit(seed)), F.lit(int(every) or 1))
-    return asked.join(first, "h").select("worker", (start + F.col("turn") * F.lit(int(every))).alias("at_us"), "key")
+    """When each worker asks for which key: workers pace themselves from a random start, and every request
+    picks one of the distinct keys at random, each alike. Without keys there are no requests."""
+    spark, every = keys.sparkSession, int(1_000_000.0 * workers / per_second)
+    numbered = log.append(0, keys.select("key").distinct(), ["key"])
+    n = numbered.agg(F.max("seq")).first()[0] or 1
+    asked = spark.range(requests).select((F.col("id") % workers).alias("worker"), F.floor(F.col("id") / workers).alias("turn"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)) + 1).alias("seq"))
+    start = F.pmod(F.xxhash64("worker", F.lit(seed)), F.lit(max(every, 1)))
+    return asked.join(numbered, "seq").select("worker", (start + F.col("turn") * F.lit(every)).alias("at_us"), "key")

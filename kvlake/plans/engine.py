@@ -7,12 +7,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import INVALID, applied, key_status, value_status
 from ..operators import log as logs
 from ..operators import read, runs
 from ..operators.manifest import Files, Manifest
 from ..schema import LOG, PUT, RUN, Options
+from ..sources.tables import load_data
 
 
 class InvalidArgument(ValueError):
@@ -42,18 +44,35 @@ class Engine:
         top = self.log().agg(F.max("seq")).first()[0] if self._segments() else None
         self.seq = max(top or 0, self.manifest.applied_until)
 
+    def _read(self, schema: T.StructType, paths: list[str]) -> DataFrame:
+        """Page checksums are verified and a broken file is an error, never skipped."""
+        reader = self.spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false")
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
     def log(self) -> DataFrame:
-        names = [n for _, n in self._segments()]
-        return self.spark.read.schema(LOG).parquet(*[f"{self.options.log}/{n}" for n in names]) if names else self.spark.createDataFrame([], LOG)
+        return self._read(LOG, [f"{self.options.log}/{n}" for _, n in self._segments()])
+
+    def verify(self) -> DataFrame:
+        """Reads all of the log: one row per segment, or an error."""
+        if not self._segments():
+            return logs.verify(self.log().withColumn("start_seq", F.col("seq")))
+        start = F.regexp_extract("_metadata.file_path", "/wal-([0-9]+)\\.log/", 1).cast("long")
+        return logs.verify(self.log().select("*", start.alias("start_seq")))
 
     def delta(self) -> DataFrame:
         """Layer 0: what the log holds beyond the runs."""
         fresh = logs.replay(self.log().withColumn("pos", F.col("seq")), self.manifest.applied_until)
         return fresh.select("key", "ts", "seq", "value")
 
-    def runs(self) -> DataFrame:
-        paths = [f"{self.options.runs}/{r['run']}" for r in self.manifest.runs]
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
+    def runs(self, version: int | None = None) -> DataFrame:
+        """All rows of the runs that the manifest names, or an earlier version of it that is still there."""
+        at = self.manifest if version is None else Manifest.load(self.files, self.options.manifests, version)
+        return self._read(RUN, [f"{self.options.runs}/{r['run']}" for r in at.runs])
+
+    def blocks(self) -> DataFrame:
+        if not self.manifest.runs:
+            return self.spark.createDataFrame([], "run string, file string, first_byte long, records long, first_key string, last_key string")
+        return runs.list_blocks(self.runs())
 
     def versions(self) -> DataFrame:
         """All versions of all layers, of one snapshot of the manifest."""
@@ -74,12 +93,12 @@ class Engine:
                 raise InvalidArgument("a key or value is too long, or a key is empty")
         else:
             rows = rows.where(~bad)
-        rows = logs.append(self.seq, rows, ["ts", "key"]).select(*LOG.names)
+        rows = logs.append(self.seq, rows, ["ts", "key", "type", "value"]).select(*LOG.names)
         path = f"{self.options.log}/wal-{self.seq + 1}.log"
         if any(s == self.seq + 1 for s, _ in self._segments()):
             raise FileExistsError(path)
         stage = f"{self.options.log}/_tmp-{uuid.uuid4().hex}"
-        rows.write.parquet(stage)
+        rows.write.option("parquet.page.write-checksum.enabled", "true").parquet(stage)
         n = self.spark.read.schema(LOG).parquet(stage).count()
         if n and not self.files.fs.rename(self.files._path(stage), self.files._path(path)):
             raise OSError(f"could not commit {path}")
@@ -99,6 +118,10 @@ class Engine:
     def delete(self, key: str, ts: int | None = None) -> int:
         return self._one("DELETE", key, None, ts)
 
+    def load_data(self, n: int = 1000, key_size: int = 10, value_size: int = 800, seed: int = 1) -> int:
+        """Puts n synthetic records. Returns the last sequence."""
+        return self.write(load_data(self.spark, n, key_size, value_size, seed).withColumn("type", F.lit(PUT)))
+
     # --- reads
 
     def get(self, key: str, layered: bool = True) -> tuple[int, bytes]:
@@ -112,7 +135,7 @@ class Engine:
         return got[0]["ts"], bytes(got[0]["value"])
 
     def multi_get(self, probes: DataFrame) -> DataFrame:
-        return read.multi_get(self.versions().drop("layer", "run"), probes)
+        return read.multi_get(self.versions(), probes, by_layer=True)
 
     def view(self, as_of: int | None = None) -> DataFrame:
         v = self.versions()

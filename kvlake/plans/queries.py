@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import INVALID, applied, key_status, value_status
 from ..operators import log, manifest, read, runs, workload
+from ..operators.manifest import Manifest
+from ..schema import DELETE
+from ..sources.shared import new_folder
 from ..sources.tables import mutations
+from .engine import Engine
 
 MUT = """with mut as (select event_id + 1 as seq, cast(user_id as varchar) as key, epoch_us(ts) as ts,
     case when event_type = 'error' then 'DELETE' else 'PUT' end as type, case when event_type = 'error' then null else props end as value,
@@ -274,4 +278,107 @@ def key_range(spark, sf):
     return read.key_range(mut(spark, sf), "1", "2").select("key", "ts", "value")
 
 
+# --- the store itself, in a folder of its own ------------------------------------------------
+
+
+def store(spark: SparkSession, sf_dir: str) -> Engine:
+    """Even events are written and flushed, odd ones stay in the log."""
+    db, m = Engine(spark, new_folder(spark, "store")), mut(spark, sf_dir)
+    db.write(m.where("seq % 2 = 1").select("key", "type", "ts", "value"))
+    db.flush(force=True)
+    db.write(m.where("seq % 2 = 0").select("key", "type", "ts", "value"))
+    return db
+
+
+STORED = f"""{MUT}, stored as (select key, type, ts, value, seq % 2 = 0 as logged, row_number() over (order by seq % 2 = 0, ts, key) as seq from mut),
+    picked as (select *, row_number() over (partition by key order by logged desc, ts desc, seq desc) as rn from stored)"""
+
+
+@query(f"{STORED} select key, ts, value from picked where rn = 1 and value is not null")
+def store_view(spark, sf):
+    return store(spark, sf).view().select("key", "ts", F.col("value").cast("string").alias("value"))
+
+
+@query(f"{STORED} select seq, key, type, ts, value from stored")
+def upsert(spark, sf):
+    """The log after two batches: what log_scan reads."""
+    return store(spark, sf).log().select("seq", "key", "type", "ts", F.col("value").cast("string").alias("value"))
+
+
+@query(f"""{STORED}, gone as (select distinct key from stored where cast(key as bigint) % 7 = 0)
+    select key, ts, value from picked where rn = 1 and value is not null and key not in (select key from gone)""")
+def delete(spark, sf):
+    db = store(spark, sf)
+    gone = mut(spark, sf).select("key").distinct().where("cast(key as bigint) % 7 = 0")
+    db.write(gone.select("key", F.lit(DELETE).alias("type"), F.lit(2 * T).alias("ts"), F.lit(None).cast("binary").alias("value")))
+    return db.view().select("key", "ts", F.col("value").cast("string").alias("value"))
+
+
+@query(f"{STORED} select key, ts, seq, value from stored where not logged")
+def flush(spark, sf):
+    return store(spark, sf).runs().select("key", "ts", "seq", F.col("value").cast("string").alias("value"))
+
+
+@query(f"{STORED} select key, ts, seq, value from stored where not logged")
+def snapshot_read(spark, sf):
+    """The first version of the manifest, after a second was committed."""
+    db = store(spark, sf)
+    db.flush(force=True)
+    return db.runs(version=1).select("key", "ts", "seq", F.col("value").cast("string").alias("value"))
+
+
+@query(f"{STORED} select row_number() over (order by logged) as place, max(seq) as applied_until from stored group by logged")
+def print_manifest(spark, sf):
+    """The manifest as loaded from its file, after two flushes."""
+    db = store(spark, sf)
+    db.flush(force=True)
+    loaded = Manifest.load(db.files, db.options.manifests)
+    return loaded.rows(spark).select((F.col("place") + 1).cast("long").alias("place"), "applied_until")
+
+
+@query(f"{STORED} select min(seq) as start_seq, count(*) as records, max(seq) as last_seq from stored group by logged")
+def log_verify(spark, sf):
+    return store(spark, sf).verify()
+
+
+@query(f"{STORED} select count(*) as records, min(key) as first_key, max(key) as last_key from stored where not logged")
+def list_blocks(spark, sf):
+    return store(spark, sf).blocks().agg(F.sum("records").alias("records"), F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"))
+
+
+@query(f"""{STORED}, probes as (select distinct cast(c_custkey % 400 as varchar) as key from customer)
+    select p.key, l.ts, l.value, case when l.value is null then 'NotFound' else 'OK' end as status
+    from probes p left join (select * from picked where rn = 1 and value is not null) l using (key)""")
+def store_multi_get(spark, sf):
+    probes = table(spark, sf, "customer").select((F.col("c_custkey") % 400).cast("string").alias("key")).distinct()
+    return store(spark, sf).multi_get(probes).select("key", "ts", F.col("value").cast("string").alias("value"), "status")
+
+
+@query(f"{MUT} select key, ts, value from (select *, {RANK} from mut) where rn = 1 and value is not null")
+def stream_upsert(spark, sf):
+    """The events as a stream into the store."""
+    from ..streaming import upsert as streams
+
+    events = table(spark, sf, "events")
+    stream = mutations(spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+    folder = new_folder(spark, "stream")
+    db = Engine(spark, f"{folder}/db")
+    streams.upsert(stream, db, f"{folder}/checkpoint").awaitTermination()
+    return db.view().select("key", "ts", F.col("value").cast("string").alias("value"))
+
+
+@query("select 1000 as records, 1000 as keys, 10 as key_size, 800 as value_size")
+def loaddata(spark, sf):
+    db = Engine(spark, new_folder(spark, "load"))
+    db.load_data(1000)
+    size = lambda c: F.max(F.octet_length(c))
+    return db.view().agg(F.count("*").alias("records"), F.count_distinct("key").alias("keys"), size("key").alias("key_size"), size("value").alias("value_size"))
+
+
+@query("select i % 5 as worker, count(*) as requests, 500000 * (count(*) - 1) as span_us from range(3000) t(i) group by 1")
+def paced_requests(spark, sf):
+    asked = workload.paced_requests(mut(spark, sf), 3000, 10.0, 5)
+    return asked.groupBy("worker").agg(F.count("*").alias("requests"), (F.max("at_us") - F.min("at_us")).alias("span_us"))
+
+
 __all__ = ["INVALID", "ORACLES", "QUERIES"]

@@ -1,10 +1,12 @@
 """Case tables of the key-value model, the store's life cycle, streams."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from kvlake.__main__ import main
 from kvlake.functions.scalar import common_prefix, key_status, value_status
 from kvlake.operators import log, manifest, read, runs, workload
 from kvlake.plans.engine import Engine, InvalidArgument, NotFound
@@ -137,7 +139,8 @@ def test_workload(spark):
     first = load.first()
     assert len(first.key) == 10 and len(first.value) == 800 and load.select("key").distinct().count() == 200
     paced = workload.paced_requests(load, 100, 10.0, 5)
-    assert paced.count() <= 100 and paced.where("at_us < 0").count() == 0
+    assert paced.count() == 100 and paced.where("at_us < 0").count() == 0
+    assert paced.select("key").distinct().count() > 60 and workload.paced_requests(load.limit(0), 100, 10.0, 5).count() == 0
 
 
 def test_bloom_filter_false_positives(spark, tmp_path):
@@ -189,6 +192,55 @@ def test_life_cycle(spark, tmp_path):
     assert db.set("fourth", b"4") and Engine(spark, base).get("fourth")[1] == b"4"
 
 
+def test_verify(spark, tmp_path):
+    base = str(tmp_path / "db")
+    db = Engine(spark, base)
+    assert db.verify().count() == 0
+    for i in range(3):
+        db.set(f"k{i}", b"x" * 500)
+    assert [tuple(r) for r in db.verify().orderBy("start_seq").collect()] == [(1, 1, 1), (2, 1, 2), (3, 1, 3)]
+    part = next((tmp_path / "db" / "log" / "wal-2.log").glob("part-*.parquet"))
+    whole = part.read_bytes()
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    at = whole.index(b"k1")  # a key's byte on its page
+    part.write_bytes(whole[:at] + b"z" + whole[at + 1 :])
+    with pytest.raises(Exception, match="(?i)crc|checksum|corrupt"):
+        db.log().collect()
+    part.write_bytes(whole)
+    os.rename(tmp_path / "db" / "log" / "wal-2.log", tmp_path / "wal-2.log")
+    with pytest.raises(Exception, match="the log is broken at 1"):
+        Engine(spark, base).verify().collect()
+
+
+def test_snapshots_and_layers(spark, tmp_path):
+    db = Engine(spark, str(tmp_path / "db"))
+    for i in range(2):
+        db.set("k", bytes([i]), ts=100 - i)
+        db.flush(force=True)
+    assert db.runs(version=1).count() == 1 and db.runs().count() == 2
+    with pytest.raises(FileNotFoundError):
+        db.runs(version=7)
+    db.set("k", b"new", ts=5)
+    probes = spark.createDataFrame([("k",)], "key string")
+    assert bytes(db.multi_get(probes).first().value) == db.get("k")[1] == b"new"
+    assert {r.records for r in db.blocks().collect()} == {1} and db.blocks().count() == 2
+    assert [(r.place, r.applied_until) for r in db.manifest.rows(spark).collect()] == [(0, 1), (1, 2)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    base = ["--base_dir", str(tmp_path / "db")]
+    assert main([*base, "set", "abc", "é1"], spark) == 0
+    assert main([*base, "get", "abc"], spark) == 0 and capsys.readouterr().out.strip().endswith("é1")
+    assert main([*base, "get", "no"], spark) == 1 and "NotFound" in capsys.readouterr().err
+    assert main([*base, "set", "", "v"], spark) == 1 and "InvalidArgument" in capsys.readouterr().err
+    assert main([*base, "delete", "abc"], spark) == 0 and main([*base, "get", "abc"], spark) == 1
+    assert main([*base, "loaddata", "--n", "50", "--value_size", "20"], spark) == 0
+    assert main([*base, "flush"], spark) == 0 and main([*base, "compact"], spark) == 0
+    capsys.readouterr()
+    assert main([*base, "printdescriptor"], spark) == 0 and "applied_until" in capsys.readouterr().out
+    assert main([*base, "bench", "--requests", "8"], spark) == 0 and "p99" in capsys.readouterr().out
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     m = tables.mutations(events).select("key", "type", "ts", F.col("value").cast("binary").alias("value"))
