@@ -81,9 +81,10 @@ class Engine:
 
     # --- writes
 
-    def write(self, batch: DataFrame, strict: bool = True) -> int:
+    def write(self, batch: DataFrame, strict: bool = True, tag: str | None = None) -> int:
         """batch: key, type, value and perhaps ts. Returns the last sequence. strict: a bad row fails the
-        batch, else bad rows are left out. Nothing is visible before the segment is complete."""
+        batch, else bad rows are left out. Nothing is visible before the segment is complete. A tag is
+        committed with the segment: has_tag tells whether the batch got in."""
         if "ts" not in batch.columns:
             batch = batch.withColumn("ts", F.lit(time.time_ns() // 1000))
         bad = (key_status(F.col("key")) == INVALID) | (value_status(F.col("value")) == INVALID)
@@ -100,6 +101,8 @@ class Engine:
         stage = f"{self.options.log}/_tmp-{uuid.uuid4().hex}"
         rows.write.option("parquet.page.write-checksum.enabled", "true").parquet(stage)
         n = self.spark.read.schema(LOG).parquet(stage).count()
+        if tag is not None:
+            self.files.commit(f"{stage}/_tag-{tag}", "")
         if n and not self.files.fs.rename(self.files._path(stage), self.files._path(path)):
             raise OSError(f"could not commit {path}")
         if not n:
@@ -107,6 +110,9 @@ class Engine:
         self.seq += n
         return self.seq
 
+    def has_tag(self, tag: str) -> bool:
+        return any(f"_tag-{tag}" == name for _, s in self._segments() for name, _ in self.files.names(f"{self.options.log}/{s}"))
+
     def _one(self, kind: str, key: str, value: bytes | None, ts: int | None) -> int:
         ts = time.time_ns() // 1000 if ts is None else ts
         self.write(self.spark.createDataFrame([(key, kind, ts, bytearray(value) if value is not None else None)], "key string, type string, ts long, value binary"))

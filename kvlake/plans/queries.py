@@ -367,7 +367,7 @@ def stream_upsert(spark, sf):
     return db.view().select("key", "ts", F.col("value").cast("string").alias("value"))
 
 
-@query("select 1000 as records, 1000 as keys, 10 as key_size, 800 as value_size")
+@query("select 1000::bigint as records, 1000::bigint as keys, 10 as key_size, 800 as value_size")
 def loaddata(spark, sf):
     db = Engine(spark, new_folder(spark, "load"))
     db.load_data(1000)

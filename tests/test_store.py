@@ -241,6 +241,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([*base, "bench", "--requests", "8"], spark) == 0 and "p99" in capsys.readouterr().out
 
 
+def test_stream_batch_is_applied_once(spark, tmp_path):
+    """The driver dies after the segment is committed and before the batch's number is kept."""
+    rows = spark.createDataFrame([("a", "PUT", 1, bytearray(b"1")), ("b", "PUT", 2, bytearray(b"2"))], "key string, type string, ts long, value binary")
+    rows.write.parquet(str(tmp_path / "in"))
+    db = Engine(spark, str(tmp_path / "db"))
+    commit = db.files.commit
+
+    def dies(path, text):
+        if "/applied/" in path:
+            raise RuntimeError("lost")
+        commit(path, text)
+
+    db.files.commit = dies
+    start = lambda e: upsert.upsert(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), e, str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="lost"):
+        start(db).awaitTermination()
+    db = Engine(spark, str(tmp_path / "db"))
+    assert db.log().count() == 2
+    start(db).awaitTermination()
+    assert db.log().count() == 2 and db.seq == 2 and db.verify().count() == 1
+    more = rows.withColumn("ts", F.col("ts") + 10)
+    more.write.mode("append").parquet(str(tmp_path / "in"))
+    start(db).awaitTermination()
+    assert db.log().count() == 4 and {r.ts for r in db.view().collect()} == {11, 12}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     m = tables.mutations(events).select("key", "type", "ts", F.col("value").cast("binary").alias("value"))
