@@ -15,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 
+#: What may be a letter; numbers such as those for a square or a half are among it.
 LETTER = re.compile(r"[^\W\d_]")
 #: Sizes of the n-grams, in characters of the lower-cased text with digits and white space levelled.
 ORDERS = (1, 2, 3)
@@ -42,6 +44,11 @@ def grams(text: str, buckets: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter in Unicode's sense."""
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -51,7 +58,7 @@ class Model:
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its posterior probability; 'und' and 0 without a letter. Evidence counts per
         n-gram up to a hundred, so that a long text in two languages is not called certain."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0
         g = np.bincount(grams(text, len(self.log)), minlength=0)
         where = np.flatnonzero(g)
@@ -96,7 +103,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score. Null texts and texts without a letter: 'und', 0."""
+    """The kept columns, whatever their names but lang_pred and score, with lang_pred and score. Null texts
+    and texts without a letter: 'und', 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,6 +113,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
             got = [m.predict(t.as_py()) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double")
+    kept = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
+    return kept.mapInArrow(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

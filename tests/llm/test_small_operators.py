@@ -271,3 +271,8 @@ def test_secrets_novelty(spark, none, odd):
     assert got[4].n_assign == 2 and got[5].n_access == 1 and got[5].n_hex == 1
     assert all(f.text == texts[i][f.start : f.end] for i, r in got.items() for f in r.found)
     assert secrets.find_secrets(none).count() == 0 and secrets.find_secrets(odd).count() == 16
+
+
+def test_letters():
+    assert all(langid.has_letter(t) for t in ("a", "1é", "ª", "字 2", "_b_"))
+    assert not any(langid.has_letter(t) for t in ("", "12 _", "²½Ⅷ", "!? ٣", "①"))
