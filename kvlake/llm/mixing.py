@@ -13,10 +13,10 @@ mended by single changes.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +43,18 @@ def targets(sizes: dict[str | None, int], share: float = 1.5, most: float = 2.0,
     return out
 
 
-def _rates(lam: dict[str | None, float], mean: dict, most: float) -> F.Column:
-    """The rate of a row (source, size). The map is a literal of at most max_sources entries."""
-    known = {s: v for s, v in lam.items() if s is not None and math.isfinite(v)}
-    if known:
-        m = F.map_from_arrays(F.array(*[F.lit(s) for s in known]), F.array(*[F.lit(float(v / mean[s])) for s, v in known.items()]))
-        tilt = F.element_at(m, F.col("source"))
-    else:
-        tilt = F.lit(None).cast("double")
-    if None in lam and math.isfinite(lam[None]):
-        tilt = F.when(F.col("source").isNull(), F.lit(float(lam[None] / mean[None]))).otherwise(tilt)
-    return F.when(tilt.isNotNull(), F.lit(most) / (1 + F.exp(-tilt * F.col("size")))).otherwise(F.lit(most))
+def _with(rows: DataFrame, **facts: dict) -> DataFrame:
+    """rows with a column for each fact about their source. The facts have one row per source, max_sources
+    at most, and are broadcast."""
+    spark, order = rows.sparkSession, sorted({s for f in facts.values() for s in f}, key=lambda s: (s is None, s or ""))
+    kinds = {"tilt": pa.float64(), "goal": pa.float64(), "blocks": pa.int64(), "source_size": pa.int64()}
+    table = spark.createDataFrame(pa.table({"__of": pa.array(order, pa.string())} | {name: pa.array([f[s] for s in order], kinds[name]) for name, f in facts.items()}))
+    return rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["__of"])).drop("__of")
+
+
+def _rate(most: float) -> F.Column:
+    """The rate of a row with its source's tilt (per word); without one, most."""
+    return F.when(F.col("tilt").isNotNull(), F.lit(most) / (1 + F.exp(-F.col("tilt") * F.col("size")))).otherwise(F.lit(most))
 
 
 def _round(most: float):
@@ -99,11 +100,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mean = {s: max(1e-9, sizes[s] / n[s]) for s in sizes}
     lam = {s: math.inf if goal[s] >= most * sizes[s] * (1 - 1e-9) else 0.0 for s in sizes}
     open_, low, high = {s for s, v in lam.items() if v == 0.0}, dict.fromkeys(lam, -60.0), dict.fromkeys(lam, 60.0)
+    r = _rate(most)
+
+    def tilts() -> dict:
+        return {s: v / mean[s] if math.isfinite(v) else None for s, v in lam.items()}
+
     for _ in range(60):
         if not open_:
             break
-        r = _rates(lam, mean, most)
-        got = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * r).alias("g"), F.sum(F.col("n") * F.col("size") * F.col("size") * r * (1 - r / most)).alias("h")).collect()
+        got = _with(counts, tilt=tilts()).withColumn("r", r).groupBy("source").agg(F.expr("sum(n * size * r)").alias("g"), F.sum(F.col("n") * F.col("size") * F.col("size") * F.col("r") * (1 - F.col("r") / most)).alias("h")).collect()
         for row in got:
             s = row["source"]
             if s not in open_:
@@ -118,30 +123,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             if high[s] - low[s] < 1e-13:
                 open_.discard(s)
     blocks = {s: -(-c // block_rows) for s, c in n.items()}
-    hot = {s: c for s, c in blocks.items() if c > 1 and s is not None}
-    salt = F.coalesce(F.element_at(F.map_from_arrays(F.array(*[F.lit(s) for s in hot]), F.array(*[F.lit(int(c)) for c in hot.values()])), F.col("source")), F.lit(1)) if hot else F.lit(1)
-    if blocks.get(None, 1) > 1:
-        salt = F.when(F.col("source").isNull(), F.lit(int(blocks[None]))).otherwise(salt)
-    rated = rows.withColumn("rate", _rates(lam, mean, most)).withColumn("h", F.xxhash64("ident")).withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "h"), salt))
+    rated = _with(rows, tilt=tilts(), blocks=blocks).withColumn("rate", r).withColumn("h", F.xxhash64("ident"))
+    rated = rated.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "h"), F.col("blocks"))).select("ident", "source", "size", "rate", "h", "salt")
     ident_type = rows.schema["ident"].dataType.simpleString()
     done = rated.groupBy("source", "salt").applyInPandas(_round(most), f"ident {ident_type}, source string, size long, copies int")
-    pick = lambda values, cast: F.coalesce(
-        *([F.element_at(F.map_from_arrays(F.array(*[F.lit(s) for s in values if s is not None]), F.array(*[F.lit(v).cast(cast) for s, v in values.items() if s is not None])), F.col("source"))] if any(s is not None for s in values) else []),
-        F.lit(values.get(None)).cast(cast),
-    )
-    return done.select(
+    return _with(done, source_size=sizes, goal=goal).select(
         F.col("ident").alias(id_col),
         "size",
-        pick(sizes, "long").alias("source_size"),
-        pick(goal, "double").alias("target"),
+        "source_size",
+        F.col("goal").alias("target"),
         (F.col("copies") * F.col("size")).cast("long").alias("taken"),
         F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("copies")).alias("copies"),
     )
 
 
-def copies_of(docs: DataFrame, mixed: Iterator | DataFrame, id_col: str = "doc_id") -> DataFrame:
+def copies_of(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns. Of rows that share an
     id, each follows the mix's mean for that id, rounded up."""
-    take = mixed.groupBy(id_col).agg(F.ceil(F.avg("copies")).cast("int").alias("__copies"))
-    joined = docs.join(take, docs[id_col].eqNullSafe(take[id_col])).drop(take[id_col])
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+    take = mixed.groupBy(F.col(id_col).alias("of")).agg(F.ceil(F.avg("copies")).cast("int").alias("copies"))
+    whole = docs.select(F.col(id_col).alias("ident"), F.struct("*").alias("row"))
+    joined = whole.join(take, whole["ident"].eqNullSafe(take["of"]))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
