@@ -18,21 +18,26 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told, with their columns."""
     model = langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False))))
-    columns = docs.columns
-    told = langid.predict(docs, model, keep=tuple(columns))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    whole = docs.select(F.struct("*").alias("row"), "text")
+    told = langid.predict(whole, model, keep=("row",))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
-    kept = exact_dedup.exact_dedup(docs, keep="min").where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of equal texts the document with the smallest id stays; of rows that repeat an id and a text, one."""
+
+    def key(digest: F.Column) -> F.Column:  # never null, so that the join and the repeats share one exchange
+        return F.concat(digest, F.coalesce(F.concat(F.lit("+"), F.col("doc_id").cast("string")), F.lit("-")))
+
+    kept = exact_dedup.exact_dedup(docs, keep="min").where("kept").select(key(F.col("text_sha256")).alias("key"))
+    whole = docs.select(key(exact_dedup.digest(F.col("text"))).alias("key"), F.struct("*").alias("row"))
+    return whole.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     dropped = near_dedup.near_dedup(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

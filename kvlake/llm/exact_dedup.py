@@ -9,7 +9,7 @@ must agree in length and in a second, independent hash, or the job stops.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -17,6 +17,15 @@ from .common import Scratch
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def normal(text: Column) -> Column:
+    """The text by which documents are equal: A-Z lower-cased, null as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(normal(text).cast("binary"), 256)
+
+
 def merge_digest_runs(rows: DataFrame, runs: int, id_col: str, keep: str, fan_in: int) -> DataFrame:
     """rows: run, text_sha256, bytes, check and the id. One row per digest: keep_id, group_size."""
     pick = {"min": F.min, "max": F.max}[keep]
@@ -50,8 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are one document: they count in group_size and share ``kept``. Other columns are not read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "exact")
-    text = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    rows = docs.select(F.col(id_col), text.alias("t")).select(
+    rows = docs.select(F.col(id_col), normal(F.col(text_col)).alias("t")).select(
         id_col,
         F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"),
         F.octet_length("t").cast("long").alias("bytes"),

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -61,3 +62,21 @@ def test_odd_tables(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame((d := stage(spark, docs, "")).collect(), d.schema)
     assert docs.count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    r = random.Random(3)
+    text = [" ".join(r.choice(["the", "house", "river", "and", "stone", "walks", "over"]) + "ly" * r.randrange(3) for _ in range(60)) for _ in range(30)]
+    rows = [(i, t, "en", "ab"[i % 2], i, "x", 0.1, "y", 5, "z", 1, 2, None) for i, t in enumerate(text)]
+    rows += [rows[4]] * 3 + [(None, text[5], "en", "a", None, None, None, None, None, None, None, None, None)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "a.b", "__copies", "row", "key", "copies", "ident"]
+    kinds = ["long", "string", "string", "string", "long", "string", "double", "string", "int", "string", "int", "int", "string"]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, spark.createDataFrame((made := stage(spark, docs, "")).collect(), made.schema)
+        assert docs.columns == names, name
+        ids = Counter(x.doc_id for x in docs.collect())
+        if name == "exact_dedup":
+            assert before.count() == 34 and ids == Counter(range(30))  # repeats and the copy without an id are gone
+    assert set(ids) <= set(range(30)) and max(ids.values()) <= 2
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").where("piece = 0").count() == sum(ids.values())
