@@ -3,18 +3,20 @@
 A small network sees the words around a place (hashed, ``reach`` to each side, never the word itself)
 and predicts the word's class; within its class a word has its share of all words of the corpus. Each
 word's conditional log-probability is the sum of both logs; a document's score is their sum over all
-its words. Word counts come from the whole corpus. The network is trained by numpy on every partition
+its words. Word counts come from the whole corpus: a written table with one row per 64-bit word hash, joined in
+at scoring; the most frequent words go to every task instead. The network is trained by numpy on every partition
 over all documents, each in one of ``rounds`` rounds; after a round the partitions' weights are averaged by
-Spark, weighted by words. The model has a fixed size.
+Spark, weighted by words. The network has a fixed size, the counts grow with the vocabulary.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,9 @@ from .common import Scratch, text_slices, word_hashes
 
 @dataclass
 class Config:
-    buckets: int = 1 << 16  # hashed words with a count of their own
+    buckets: int | None = None  # None: each word has a count of its own; else words hashed into so many share counts
+    groups: int = 1 << 16  # hashed words that are given their class together
+    head: int = 1 << 18  # most words whose counts go to every task; the others' are joined in
     inputs: int = 1 << 11  # hashed words that the network tells apart around a place
     hidden: int = 16
     classes: int = 64
@@ -96,38 +100,82 @@ class Network:
 class Model:
     config: Config
     weights: np.ndarray
-    klass: np.ndarray  # of each bucket
-    within: np.ndarray  # log share of each bucket in its class
+    klass: np.ndarray  # of each bucket or group
+    within: np.ndarray  # log share of each bucket in its class; of a group, what its words' log counts lack to that
+    head: np.ndarray | None = None  # hashes of the most frequent words, sorted
+    logs: np.ndarray | None = None  # their log counts
+    counts: DataFrame | None = None  # word, n: all words; stays with the driver
 
     def targets(self, words: np.ndarray) -> np.ndarray:
-        return (words % np.uint64(self.config.buckets)).astype(np.int64)
+        return (words % np.uint64(self.config.buckets or self.config.groups)).astype(np.int64)
 
-    def log_probabilities(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of every word, given the words around it."""
+    def log_probabilities(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every word, given the words around it; and which words still lack their log count."""
         net, bucket = Network(self.config, self.weights), self.targets(words)
         near, out = neighbours(words, first, self.config), np.empty(len(words))
         for a in range(0, len(words), self.config.chunk):
             b = bucket[a : a + self.config.chunk]
             _, z = net.forward(near[:, a : a + self.config.chunk])
             out[a : a + len(b)] = z[np.arange(len(b)), self.klass[b]] + self.within[b]
-        return out
+        if self.config.buckets:
+            return out, np.zeros(len(words), bool)
+        if not len(self.head):
+            return out, np.ones(len(words), bool)
+        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
+        rare = self.head[at] != words
+        out += np.where(rare, 0.0, self.logs[at])
+        return out, rare
 
 
-def word_counts(docs: DataFrame, text_col: str, c: Config, scratch: Scratch) -> np.ndarray:
-    """How often each bucket's words occur in all documents: one row per bucket reaches the driver."""
+SMOOTH = 0.1  # added to every count
+
+
+def word_counts(docs: DataFrame, text_col: str, scratch: Scratch, most: int = 1 << 20) -> DataFrame:
+    """word, n: how often each word, by its 64-bit hash as a signed number, occurs in all documents. A written table."""
+
+    def rows(held: list) -> pa.RecordBatch:
+        words, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(words, kind="stable")
+        words, n = words[order], n[order]
+        first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(words[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(c.buckets, np.int64)
+        held, size = [], 0
         for batch in batches:
             for _, _, data, at in text_slices(batch, text_col):
-                total += np.bincount((word_hashes(data, at)[0] % np.uint64(c.buckets)).astype(np.int64), minlength=c.buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    got = scratch.save(docs.select(text_col).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "counts").toPandas()
-    counts = np.zeros(c.buckets, np.int64)
-    counts[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy()
-    return counts
+                words = word_hashes(data, at)[0]
+                if not len(words):
+                    continue
+                held.append(np.unique(words, return_counts=True))
+                size += len(held[-1][0])
+                if size > most:
+                    yield rows(held)
+                    held, size = [], 0
+        if held:
+            yield rows(held)
+
+    return scratch.save(docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+
+
+def dealt_counts(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences and distinct words of each of ``size`` buckets: one row per bucket reaches the driver."""
+    unsigned = F.pmod(F.pmod("word", F.lit(size)) + F.when(F.col("word") < 0, 2**64 % size).otherwise(0), F.lit(size))
+    got = counts.groupBy(unsigned.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
+    n, words = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    n[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy()
+    words[got["bucket"].to_numpy(np.int64)] = got["words"].to_numpy()
+    return n, words
+
+
+def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and log counts of the words that occur more often than some number: ``most`` words at most."""
+    many = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
+    over = many["n"][many["words"].cumsum() > most]
+    got = counts.where(F.col("n") > int(over.iloc[0] if len(over) else 0)).toPandas()
+    words = got["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.log(got["n"].to_numpy(np.int64)[order] + SMOOTH)
 
 
 def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
@@ -143,18 +191,22 @@ def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
 
 def fit(docs: DataFrame, text_col: str = "text", config: Config | None = None) -> Model:
     """Counts and weights over all documents. Null and empty texts add nothing; without any word the
-    model keeps its first weights and even counts."""
+    model keeps its first weights and even counts. Each class keeps room for one word that isn't in the corpus."""
     c, spark = config or Config(), docs.sparkSession
     scratch = Scratch(spark, "lm")
-    counts = word_counts(docs, text_col, c, scratch)
-    klass = classes_of(counts, c.classes)
-    smooth = counts + 0.1
-    within = np.log(smooth) - np.log(np.bincount(klass, weights=smooth, minlength=c.classes))[klass]
-    model = Model(c, Network(c).flat(), klass, within)
+    counts = word_counts(docs, text_col, scratch)
+    n, distinct = dealt_counts(counts, c.buckets or c.groups)
+    klass = classes_of(n, c.classes)
+    if c.buckets:
+        smooth = n + SMOOTH
+        model = Model(c, Network(c).flat(), klass, np.log(smooth) - np.log(np.bincount(klass, weights=smooth, minlength=c.classes))[klass])
+    else:
+        total = np.bincount(klass, weights=n + SMOOTH * distinct, minlength=c.classes) + SMOOTH
+        model = Model(c, Network(c).flat(), klass, -np.log(total)[klass], *head_of(counts, c.head), counts)
     row = c.hidden
 
     for k in range(c.rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(replace(model, head=None, logs=None, counts=None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
@@ -179,7 +231,7 @@ def fit(docs: DataFrame, text_col: str = "text", config: Config | None = None) -
         mean = trained.groupBy("row").agg(*[(F.sum(F.col(x).cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias(x) for x in names[2:]])
         got = scratch.save(mean, f"weights{k}").toPandas().sort_values("row")
         if len(got):
-            model = Model(c, got[names[2:]].to_numpy(np.float32).ravel()[: len(model.weights)], klass, within)
+            model = replace(model, weights=got[names[2:]].to_numpy(np.float32).ravel()[: len(model.weights)])
         shared.unpersist()
     return model
 
@@ -187,20 +239,32 @@ def fit(docs: DataFrame, text_col: str = "text", config: Config | None = None) -
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_words, log_likelihood (the sum over all words), per_word (their mean;
     null without words). Null, empty and blank texts have no words and a sum of 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(replace(model, counts=None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = [], []
+            n, total, rare, lacking = [], [], [], []
             for _, _, data, at in text_slices(batch, text_col):
                 words, first = word_hashes(data, at)
-                sums = np.append(0.0, np.cumsum(m.log_probabilities(words, first)))
+                logs, late = m.log_probabilities(words, first)
+                sums, lates = np.append(0.0, np.cumsum(logs)), np.append(0, np.cumsum(late))
                 n.append(np.diff(first))
                 total.append(sums[first[1:]] - sums[first[:-1]])
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            total = np.concatenate(total) if total else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], names=[id_col, "n_words", "log_likelihood", "per_word"])
+                rare.append(words[late].view(np.int64))
+                lacking.append(lates[first[1:]] - lates[first[:-1]])
+            n, total, rare, lacking = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((n, np.int64), (total, float), (rare, np.int64), (lacking, np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lacking)).astype(np.int32)), pa.array(rare))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n), pa.array(total), lists], names=["__row", id_col, "n_words", "__sum", "__rare"])
+            row += len(n)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_words long, log_likelihood double, per_word double")
+    scored = docs.select(id_col, text_col).mapInArrow(run, f"__row long, {id_col} {kind}, n_words long, __sum double, __rare array<long>")
+    total = F.col("__sum")
+    if model.counts is not None:
+        scored = Scratch(spark, "lm-score").save(scored, "scored")  # the rows' numbers hold from here on
+        rare = scored.select("__row", F.explode("__rare").alias("word")).join(model.counts, "word", "left")
+        more = rare.groupBy("__row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("__more"))
+        scored, total = scored.drop("__rare").join(more, "__row", "left"), total + F.coalesce("__more", F.lit(0.0))
+    return scored.select(id_col, "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))

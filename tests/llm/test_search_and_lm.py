@@ -1,3 +1,6 @@
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
@@ -95,3 +98,38 @@ def test_lm_odd(odd, none):
     assert got[0].n_words == got[1].n_words == got[2].n_words == 0 and got[0].log_likelihood == 0 and got[0].per_word is None
     assert got[3].log_likelihood < 0 and np.isfinite(got[6].log_likelihood) and got[6].n_words == 60_000
     assert lm.score(none, lm.fit(none, config=SMALL)).count() == 0
+
+
+@pytest.mark.parametrize("head", [0, 40, 1 << 18])
+def test_scores_by_exact_counts(spark, documents, head):
+    """Each word has a count of its own, whether it goes to every task or is joined in; by the hash in 64 groups most would share one."""
+    c = lm.Config(groups=64, head=head, inputs=16, hidden=4, classes=6, rounds=1, chunk=32)
+    model = lm.fit(documents, config=c)
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    counts = Counter(w for t in texts.values() for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode()))
+    hashes = {w: word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in counts}
+    assert {r.word: r.n for r in model.counts.collect()} == {int(hashes[w].astype(np.int64)): n for w, n in counts.items()}
+    assert len(model.head) <= head and (len(model.head) < len(counts)) == (head < len(counts))
+    klass = {w: model.klass[int(h % np.uint64(64))] for w, h in hashes.items()}
+    total = defaultdict(lambda: 0.1)
+    for w, n in counts.items():
+        total[klass[w]] += n + 0.1
+    net = lm.Network(c, model.weights)
+    asked = dict(list(texts.items())[:40]) | {-1: "the wholly-unseen-word-1 the", -2: None}
+    again = spark.createDataFrame([*asked.items(), (-2, None)], "doc_id long, text string").repartition(3)
+    got = lm.score(again, model).collect()
+    assert len(got) == len(asked) + 1
+    for r in got:
+        data = (asked[r.doc_id] or "").encode()
+        words, at = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        z = net.forward(lm.neighbours(words, at, c))[1]
+        kinds = model.klass[(words % np.uint64(64)).astype(int)]
+        want = sum(z[i, kinds[i]] + np.log((counts[w] + 0.1) / total[kinds[i]]) for i, w in enumerate(re.findall(rb"[^\x20\x09-\x0D]+", data)))
+        assert r.n_words == len(words) and r.log_likelihood == pytest.approx(want, rel=1e-4)
+
+
+def test_exact_counts_odd(odd, none):
+    model = lm.fit(odd, config=lm.Config(head=2))
+    got = lm.score(odd, model).collect()
+    assert len(got) == 16 and sum(r.per_word is None for r in got) == 3 and all(np.isfinite(r.log_likelihood) for r in got)
+    assert lm.score(none, lm.fit(none)).count() == 0
