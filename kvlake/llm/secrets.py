@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and novelty to a dictionary-primed zstandard compressor.
 
-A candidate is a long unbroken run of key characters with a sensitive word shortly before it. Its
+A candidate is a long unbroken run of key characters with a sensitive word shortly before or after it. Its
 novelty is the number of bytes it adds to the compressed form of the text around it, with a
 dictionary of common identifiers loaded: names, paths and repeated values cost little, random keys
 nearly a byte for every 8 bits they hold. Candidates that don't compress are reported.
@@ -54,9 +54,7 @@ class Novelty:
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
             s = m[0]
-            if furthest[bisect_left(taken, (b,))] > a or not SENSITIVE.search(text, max(0, a - 48), a) or len(set(s)) < 8:
-                continue
-            if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+            if furthest[bisect_left(taken, (b,))] > a or not (SENSITIVE.search(text, max(0, a - 48), a) or SENSITIVE.search(text, b, b + 48)):
                 continue
             around = (text[max(0, a - self.context) : a] + text[b : b + self.context]).encode("utf-8", "replace")
             if self.added(around, s.encode()) >= self.least * len(s):

@@ -273,6 +273,15 @@ def test_secrets_novelty(spark, none, odd):
     assert secrets.find_secrets(none).count() == 0 and secrets.find_secrets(odd).count() == 16
 
 
+def test_secrets_of_any_characters(spark):
+    """Letters alone, digits alone, few distinct characters, the sensitive word behind: the compressed bytes decide."""
+    letters, digits, few = "qZtLwXvNbRkYpHdGsJfMcVaTeUiOxWyK", "83920174651938274650", "Q7zQ7Zz9QqZ97z9qqQ"
+    texts = [f"Authorization: Bearer {letters}", f"login {digits}", "use q7Zt9Lw2Xv4Nb8Rk1Yp6Hd3Gs5Jf0Mc as the session cookie", f"the key is {'ab' * 20} or {'=' * 40}", f"{letters} in prose", f"cred: {few}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [f.text for f in r.found if f.kind == "novel"] for r in secrets.find_secrets(docs).collect()}
+    assert got[0] == [letters] and got[1] == [digits] and got[5] == [few] and got[2] == ["q7Zt9Lw2Xv4Nb8Rk1Yp6Hd3Gs5Jf0Mc"] and got[3] == got[4] == []
+
+
 def test_letters():
     assert all(langid.has_letter(t) for t in ("a", "1é", "ª", "字 2", "_b_"))
     assert not any(langid.has_letter(t) for t in ("", "12 _", "²½Ⅷ", "!? ٣", "①"))
