@@ -114,6 +114,13 @@ def kway_merge(spark, sf):
     return runs.kway_merge([m.where("run = 1"), m.where("run = 2"), m.where("run = 2")]).select("key", "ts", "value")
 
 
+@query(f"{MUT} select key, ts, value from mut union all select key, ts, value from mut where run = 2")
+def kway_merge_all(spark, sf):
+    """All eight runs, and one of them again: a merge keeps what repeats."""
+    m = mut(spark, sf)
+    return runs.kway_merge([m.where(F.col("run") == r) for r in (*range(8), 2)]).select("key", "ts", "value")
+
+
 @query(f"{MUT} select key, ts, seq, value from mut")
 def compact(spark, sf):
     m = mut(spark, sf)
@@ -273,6 +280,14 @@ def false_positive_rate(spark, sf):
     return workload.false_positive_rate(m.where("run = 1").join(there, "key", "left").select(F.coalesce("hit", F.lit(False)).alias("hit")))
 
 
+@query(f"{MUT} select avg(cast(key in (select key from mut where layer = 0) as double)) as rate from mut where layer <> 0")
+def false_positive_rate_all(spark, sf):
+    """Probed with every row outside the layer that answers."""
+    m = mut(spark, sf)
+    there = m.where("layer = 0").select("key").distinct().withColumn("hit", F.lit(True))
+    return workload.false_positive_rate(m.where("layer <> 0").join(there, "key", "left").select(F.coalesce("hit", F.lit(False)).alias("hit")))
+
+
 @query(f"{MUT} select key, ts, value from (select *, {RANK} from mut) where rn = 1 and value is not null and key >= '1' and key < '2'")
 def key_range(spark, sf):
     return read.key_range(mut(spark, sf), "1", "2").select("key", "ts", "value")

@@ -34,3 +34,11 @@ def test_against_sql(spark, con, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_runs_and_rows(spark):
+    """More rows than three of eight runs have, and the rate over every row outside layer 0."""
+    m = core.mut(spark, SF).toPandas()
+    assert core.QUERIES["kway_merge_all"](spark, SF).count() == len(m) + (m["run"] == 2).sum()
+    probed = m[m["layer"] != 0]
+    assert core.QUERIES["false_positive_rate_all"](spark, SF).first().rate == pytest.approx(probed["key"].isin(m["key"][m["layer"] == 0]).mean())
