@@ -79,6 +79,16 @@ def multi_get(spark, sf):
     return read.multi_get(mut(spark, sf), probes.union(spark.range(1).select(F.lit("").alias("key"))))
 
 
+@query(f"""{MUT}, probes as (select distinct cast(c_custkey as varchar) as key from customer union all select ''),
+    latest as (select key, ts, value from (select *, {RANK} from mut) where rn = 1 and value is not null)
+    select p.key, l.ts, l.value, case when strlen(p.key) = 0 or strlen(p.key) > 4096 then 'InvalidArgument' when l.value is null then 'NotFound' else 'OK' end as status
+    from probes p left join latest l using (key)""")
+def multi_get_all(spark, sf):
+    """Probed with every customer's key."""
+    probes = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key")).distinct()
+    return read.multi_get(mut(spark, sf), probes.union(spark.range(1).select(F.lit("").alias("key"))))
+
+
 @query(f"{MUT} select key, ts, value from mut where key > '12' or (key = '12' and ts <= {T}) order by key, ts desc limit 1")
 def seek_ge(spark, sf):
     return read.seek_ge(mut(spark, sf), "12", T).select("key", "ts", "value")
@@ -369,6 +379,15 @@ def store_multi_get(spark, sf):
     return store(spark, sf).multi_get(probes).select("key", "ts", F.col("value").cast("string").alias("value"), "status")
 
 
+@query(f"""{STORED}, probes as (select distinct cast(c_custkey as varchar) as key from customer)
+    select p.key, l.ts, l.value, case when l.value is null then 'NotFound' else 'OK' end as status
+    from probes p left join (select * from picked where rn = 1 and value is not null) l using (key)""")
+def store_multi_get_all(spark, sf):
+    """Probed with every customer's key."""
+    probes = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("key")).distinct()
+    return store(spark, sf).multi_get(probes).select("key", "ts", F.col("value").cast("string").alias("value"), "status")
+
+
 @query(f"{MUT} select key, ts, value from (select *, {RANK} from mut) where rn = 1 and value is not null")
 def stream_upsert(spark, sf):
     """The events as a stream into the store."""

@@ -42,3 +42,13 @@ def test_all_runs_and_rows(spark):
     assert core.QUERIES["kway_merge_all"](spark, SF).count() == len(m) + (m["run"] == 2).sum()
     probed = m[m["layer"] != 0]
     assert core.QUERIES["false_positive_rate_all"](spark, SF).first().rate == pytest.approx(probed["key"].isin(m["key"][m["layer"] == 0]).mean())
+
+
+def test_all_keys_are_probed(spark, tmp_path):
+    """With more than 400 customers."""
+    for f in ("events", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.1/{f}.parquet").write.parquet(f"{tmp_path}/{f}.parquet")
+    keys = {str(r.c_custkey) for r in core.table(spark, str(tmp_path), "customer").collect()}
+    assert len(keys) > 400
+    assert {r.key for r in core.QUERIES["multi_get_all"](spark, str(tmp_path)).collect()} == keys | {""}
+    assert {r.key for r in core.QUERIES["store_multi_get_all"](spark, str(tmp_path)).collect()} == keys
