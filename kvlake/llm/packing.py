@@ -32,14 +32,17 @@ LONG_BLANK = re.compile(r"(?<!\s)\s{1000}")
 class Encoder:
     """Ids of whole texts by a tokenizer file. For a plain byte-level BPE whose merges are in the order of
     its ids, as in the files of public models, tiktoken gives the same ids several times faster; any other
-    file is left to tokenizers, and so are texts with very long runs of white space."""
+    file is left to tokenizers, and so are texts with very long runs of white space. ``added``: added tokens of the
+    file are told in texts, as tokenizers does by default, and texts that hold one are left to it; else they are text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.fast = self._fast(json.loads(open(path, encoding="utf-8").read()))
+        self.tok.encode_special_tokens = not added
+        spec = json.loads(open(path, encoding="utf-8").read())
+        self.fast = self._fast(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", ()) if t["content"]] if added else []
 
     @staticmethod
     def _fast(spec: dict):
@@ -61,7 +64,7 @@ class Encoder:
         return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        fast = self.fast and not LONG_BLANK.search(text)
+        fast = self.fast and not LONG_BLANK.search(text) and not any(t in text for t in self.added)
         return self.fast.encode_ordinary(text) if fast else self.tok.encode(text, add_special_tokens=False).ids
 
 
@@ -73,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
+            _ENCODERS[tokenizer] = Encoder(tokenizer, added=True)
         encode = _ENCODERS[tokenizer]
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])

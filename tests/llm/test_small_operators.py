@@ -245,6 +245,20 @@ def brute_base(text):
     return ",".join(x[2] for x in sorted(found))
 
 
+def test_packing_of_added_tokens(spark):
+    """Ids are those of the tokenizer file by the plain call, also where a text holds an added token."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "hello world", "<|endoftext|"]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), queries.tokenizer_path()).collect()
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for r in got:
+        ids = [*tok.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert len(got) == 4
+
+
 def test_secrets_base(spark, documents, sf):
     got = {r.doc_id: r for r in queries.op10_secrets(spark, sf).collect()}
     for r in documents.collect():
