@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.llm import exact_dedup, langid, mixing, packing, queries, secrets, sharding
 
@@ -42,6 +43,31 @@ def test_exact_dedup_odd(odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("partitions,fan_in", [(1, 32), (9, 2)])
+def test_exact_dedup_verifies(spark, monkeypatch, partitions, fan_in):
+    """Texts that differ under one digest stop the job, in the first round or in the last; copies don't."""
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.sha2(F.substring(exact_dedup.normal(text), 1, 4).cast("binary"), 256))
+    docs = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions, "doc_id")
+    assert exact_dedup.exact_dedup(docs("same", "SAME", "other"), fan_in=fan_in).where("kept").count() == 2
+    for texts in (("same one", "same two"), ("same", "same longer", "x")):
+        for column in ("keep_id", "group_size"):
+            with pytest.raises(Exception, match="two texts share a digest"):
+                exact_dedup.exact_dedup(docs(*texts), fan_in=fan_in).select(column).collect()
+
+
+def test_exact_dedup_merges_sorted_runs(spark, documents):
+    """Each round is an exchange and a sort aggregate; nothing is gathered in a hash table."""
+    plan = exact_dedup.exact_dedup(documents.repartition(9), fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan and plan.count("raise_error") >= 4 and plan.count("SortAggregate") == 8
+
+
+def test_exact_dedup_query(spark, sf, documents):
+    last = {}
+    for r in documents.collect():
+        last[low(r.text)] = max(last.get(low(r.text), -1), r.doc_id)
+    assert {r.doc_id for r in queries.op3_exact_dedup(spark, sf).where("kept").collect()} == set(last.values())
+
+
 # --- sharding ------------------------------------------------------------------------------
 
 
