@@ -133,13 +133,56 @@ def test_langid_counts_and_odd(odd, none):
     assert {x.lang_pred for x in langid.predict(odd, empty).collect()} == {"und"}
 
 
-def test_langid_counts_exact(documents):
+def slow_grams(text, buckets):
+    """The buckets of all n-grams, one by one."""
+    codes = [32 if c.isspace() and ord(c) < 0x3000 else 48 if c in "0123456789" else ord(c) for c in text.lower()]
+    out, m = [], 2**32
+    for i in range(len(codes)):
+        h = 0
+        for n in (1, 2, 3):
+            if i + n <= len(codes):
+                h = (h * 0x9E3779B1 + codes[i + n - 1] * 0x85EBCA6B + n) % m
+                x = (h ^ (h >> 15)) * 0x2C1B3C6D % m
+                out.append((x ^ (x >> 13)) % buckets)
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1 << 19])
+def test_langid_against_brute_force(spark, documents, monkeypatch, block):
+    """Counts, labels and scores by plain multinomial naive Bayes, text by text."""
+    monkeypatch.setattr(langid, "BLOCK", block)  # reaches this process; the workers cut long texts by the true size
+    data = documents.collect()
     model = langid.fit(documents, buckets=512, alpha=1.0)
+    assert model.langs == sorted({r.lang for r in data if r.lang})
     counts = np.zeros((512, len(model.langs)))
-    for r in documents.collect():
-        np.add.at(counts[:, model.langs.index(r.lang)], langid.grams(r.text, 512), 1)
-    want = np.log(counts + 1) - np.log((counts + 1).sum(axis=0))
-    assert np.allclose(model.log, want)
+    for r in data:
+        np.add.at(counts[:, model.langs.index(r.lang)], slow_grams(r.text, 512), 1)
+    log = np.log(counts + 1) - np.log((counts + 1).sum(axis=0))
+    assert np.allclose(model.log, log)
+    prior = np.log([sum(r.lang == x for r in data) / len(data) for x in model.langs])
+    asked = [r.text for r in data[:60]] + ["Straße İstanbul ΟΔΟΣ", "a", "ab", "1 2", None, "", "x" * 40, data[3].text * 30]
+    for text, (lang, score) in zip(asked, model.predict(asked)):
+        if not text or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0)
+            continue
+        z = prior + log[slow_grams(text, 512)].sum(axis=0)
+        p = np.exp(z - z.max())
+        assert lang == model.langs[int(z.argmax())] and score == pytest.approx((p / p.sum()).max(), rel=1e-6)
+
+
+def test_langid_blocks_cut_long_texts(monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK", 10)
+    texts = [(0, "Abc"), (1, "the quick brown fox jumps"), (2, "x"), (5, "0123456789"), (6, "0123456789ab")]
+    got = {i: Counter() for i, _ in texts}
+    for b in langid.blocks(texts):
+        for g in b.grams(64):
+            for i, a, z in zip(b.row, b.starts, b.ends):
+                got[int(i)].update(x for x in g[a:z].tolist() if x < 64)
+    assert got == {i: Counter(slow_grams(t, 64)) for i, t in texts}
+
+
+def test_held_out_is_never_null(spark, odd):
+    assert [r[0] for r in odd.where("doc_id is null").select(queries.held_out()).collect()] == [False]
 
 
 # --- mixing --------------------------------------------------------------------------------
