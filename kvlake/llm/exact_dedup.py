@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, named
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,7 +49,7 @@ def merged(rows: DataFrame, keep: str) -> DataFrame:
 
 def merge_digest_runs(rows: DataFrame, runs: int, id_col: str, keep: str, fan_in: int) -> DataFrame:
     """rows: run, text_sha256, mark and the id. One row per digest: text_sha256, keep_id, group_size."""
-    level = rows.select("run", "text_sha256", "mark", F.col(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    level = rows.select("run", "text_sha256", "mark", named(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     while True:
         level = merged(level.withColumn("run", F.expr(f"run div {fan_in}")), keep)
         runs = -(-runs // fan_in)
@@ -65,8 +65,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group has an id; in a group without any, all stay (keep_id null). Rows that repeat an id and a text
     are one document: they count in group_size and share ``kept``. Other columns are not read."""
     scratch = Scratch(docs.sparkSession, "exact")
-    rows = docs.select(F.col(id_col), digest(F.col(text_col)).alias("text_sha256"), marked(F.col(text_col)).alias("mark"), F.spark_partition_id().cast("long").alias("run"))
-    rows = scratch.save(rows.sortWithinPartitions("text_sha256", id_col), "rows")
+    rows = docs.select(named(id_col), digest(named(text_col)).alias("text_sha256"), marked(named(text_col)).alias("mark"), F.spark_partition_id().cast("long").alias("run"))
+    rows = scratch.save(rows.sortWithinPartitions("text_sha256", named(id_col)), "rows")
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     groups = merge_digest_runs(rows, runs, id_col, keep, fan_in)
-    return rows.join(groups, "text_sha256").select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(groups, "text_sha256").select(named(id_col), "keep_id", "group_size", named(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

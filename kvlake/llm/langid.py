@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, named
 
 #: What may be a letter; numbers such as those for a square or a half are among it.
 LETTER = re.compile(r"[^\W\d_]")
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
     """Learns from every row with a text and a language; rows that repeat count as often as they occur. At most
     max_langs languages: the matrix has buckets x languages doubles, 32 MB for 256; more is an error. Without
     labelled rows the model knows no language."""
-    seen = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    seen = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", buckets
             at = np.flatnonzero(x[:buckets])
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(x[at], rows[lang]), pa.int64())], names=["lang", "bucket", "n"])
 
-    per = seen.select(lang_col, text_col).mapInArrow(count, "lang string, bucket int, n long")
+    per = seen.select(named(lang_col).alias("lang"), named(text_col).alias("text")).mapInArrow(count, "lang string, bucket int, n long")
     counted = Scratch(docs.sparkSession, "langid").save(per.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
     langs = sorted(r["lang"] for r in counted.select("lang").distinct().limit(max_langs + 1).collect())
     if len(langs) > max_langs:
@@ -165,8 +165,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
         m = shared.value
         for batch in batches:
             got = m.predict(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=schema.names)
 
-    kept = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("__text"))
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in keep]
-    return kept.mapInArrow(score, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    kept = docs.select(*(named(c).alias(f"k{i}") for i, c in enumerate(keep)), named(text_col).alias("text"))
+    fields = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return kept.mapInArrow(score, schema).toDF(*keep, "lang_pred", "score")

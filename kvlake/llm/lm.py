@@ -1,17 +1,27 @@
 """Language-model scoring by masked pseudo-likelihood.
 
-A small network sees the words around a place (hashed, ``reach`` to each side, never the word itself)
-and predicts the word's class; within its class a word has its share of all words of the corpus. Each
-word's conditional log-probability is the sum of both logs; a document's score is their sum over all
-its words. Word counts come from the whole corpus: a written table with one row per 64-bit word hash, joined in
-at scoring; the most frequent words go to every task instead. The network is trained by numpy on every partition
-over all documents, each in one of ``rounds`` rounds; after a round the partitions' weights are averaged by
-Spark, weighted by words. The network has a fixed size, the counts grow with the vocabulary.
+A network sees the words around a place (``reach`` to each side, never the word itself) and predicts the word's
+class; within its class a word has its share of all words of the corpus. Each word's conditional log-probability
+is the sum of both logs; a document's score is their sum over all its words.
+
+Everything that is learned is learned from sums over all documents, so it is the same however they are partitioned,
+but for the rounding of float sums:
+
+1. Exact counts of every word: a written table with one row per 64-bit word hash, joined in at scoring; the ``head``
+   most frequent words go to every task instead. This part grows with the vocabulary, the rest has a fixed size.
+2. Classes: how often the ``signs`` most frequent words stand near each of the ``top`` most frequent words (rarer
+   ones by hash in ``groups``); k-means in numpy puts words with like neighbours together.
+3. The network's first weights: for each place around a word and each input there, the log of how much more often
+   each class stands beside it than elsewhere. The ``inputs - classes - 1`` most frequent words are inputs of their
+   own, rarer ones enter by their class, and there is one for places beyond the document's ends.
+4. Training, each document in one of ``rounds`` rounds. The first is a Newton step on the gain of each place and of the
+   bias, from exact gradients and Hessians. The others move every weight by the log ratio of observed to predicted
+   counts (iterative scaling, which lowers the loss at each step).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -20,114 +30,123 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices, word_hashes
+from .common import Scratch, named, text_slices, word_hashes
 
 
-@dataclass
+@dataclass(frozen=True)
 class Config:
-    buckets: int | None = None  # None: each word has a count of its own; else words hashed into so many share counts
-    groups: int = 1 << 16  # hashed words that are given their class together
     head: int = 1 << 18  # most words whose counts go to every task; the others' are joined in
-    inputs: int = 1 << 11  # hashed words that the network tells apart around a place
-    hidden: int = 16
+    top: int = 1 << 16  # most words that are given a class by themselves
+    groups: int = 1 << 12  # hashed words that are given their class together
+    signs: int = 32  # frequent words by which words are told apart
+    inputs: int = 1 << 11
     classes: int = 64
+    alone: int = 16  # classes of one word, the most frequent ones
     reach: int = 2
     rounds: int = 2
-    step: float = 1.0
-    chunk: int = 1024
-
-
-def neighbours(words: np.ndarray, first: np.ndarray, c: Config) -> np.ndarray:
-    """For each word the input rows of the 2 * reach places around it; each place has rows of its own,
-    the last of them for places beyond the document's ends."""
-    n = len(words)
-    own = (words >> np.uint64(40)).astype(np.int64) % (c.inputs - 1)
-    begin = np.repeat(first[:-1], np.diff(first))
-    end = np.repeat(first[1:], np.diff(first))
-    at = np.arange(n)
-    out = np.empty((2 * c.reach, n), np.int64)
-    for k, d in enumerate([d for d in range(-c.reach, c.reach + 1) if d]):
+    gain: float = 0.6  # of each place before training
+    chunk: int = 2048
+
+    @property
+    def places(self) -> list[int]:
+        return [d for d in range(-self.reach, self.reach + 1) if d]
+
+
+SMOOTH = 0.1  # added to every count of a word or a class
+PRIOR = 5.0  # occurrences by class alone that are added to those of an input
+
+
+def around(values: np.ndarray, first: np.ndarray, places: list[int], beyond: int) -> np.ndarray:
+    """For each place the value that stands there, seen from every word; ``beyond`` outside its document."""
+    n = len(values)
+    begin, end = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
+    at, out = np.arange(n), np.empty((len(places), n), np.int64)
+    for k, d in enumerate(places):
         j = at + d
-        inside = (j >= begin) & (j < end)
-        out[k] = np.where(inside, own[np.clip(j, 0, n - 1)], c.inputs - 1) + k * c.inputs
+        out[k] = np.where((j >= begin) & (j < end), values[np.clip(j, 0, n - 1)], beyond)
     return out
 
 
+def sums_by(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
+    """Adds values to the rows of out, by sorting: far faster than ufunc.at."""
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    out[rows[order][first]] += np.add.reduceat(values[order], first, axis=0)
+
+
 class Network:
-    """tanh(sum of the input rows) times the output matrix, softmax over the classes."""
-
-    def __init__(self, c: Config, flat: np.ndarray | None = None):
-        self.c, rows = c, 2 * c.reach * c.inputs
-        if flat is None:
-            r = np.random.default_rng(1)
-            flat = np.concatenate([r.normal(0, 0.3, rows * c.hidden), r.normal(0, 0.3, (c.hidden + 1) * c.classes)])
-        flat = flat.astype(np.float32)
-        self.inp, self.out = flat[: rows * c.hidden].reshape(rows, c.hidden).copy(), flat[rows * c.hidden :].reshape(c.hidden + 1, c.classes).copy()
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.inp.ravel(), self.out.ravel()])
-
-    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values, and the log-probability of every class."""
-        h = self.inp[near[0]]
+    """The sum of the input rows and the bias, softmax over the classes."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights.astype(np.float32), bias.astype(np.float32)
+
+    def forward(self, near: np.ndarray) -> np.ndarray:
+        """near: input rows by place. The log-probability of every class."""
+        z = self.bias + self.weights[near[0]]
         for row in near[1:]:
-            h += self.inp[row]
-        np.tanh(h, out=h)
-        z = h @ self.out[:-1] + self.out[-1]
+            z += self.weights[row]
         z -= z.max(axis=1, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return h, z
-
-    def train(self, near: np.ndarray, classes: np.ndarray) -> None:
-        """One step of gradient descent. The steps of the input rows are summed where a row recurs."""
-        h, z = self.forward(near)
-        n = len(classes)
-        g = np.exp(z)
-        g[np.arange(n), classes] -= 1
-        gh = (g @ self.out[:-1].T) * (1 - h * h)
-        step = np.float32(self.c.step)
-        self.out[:-1] -= step / n * (h.T @ g)
-        self.out[-1] -= step / n * g.sum(axis=0)
-        gh *= step * np.float32(8.0 / n)
-        for row in near:  # sums by row, by sorting: far faster than ufunc.at
-            order = np.argsort(row, kind="stable")
-            sorted_ = row[order]
-            first = np.flatnonzero(np.diff(sorted_, prepend=-1))
-            self.inp[sorted_[first]] -= np.add.reduceat(gh[order], first, axis=0)
+        return z
+
+    def slopes(self, near: np.ndarray, target: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+        """Gradient and Hessian of the log-likelihood by the gains of the bias and of each place: a row each, in one column
+        the gradient, in the others the Hessian."""
+        f = [np.broadcast_to(self.bias, log_p.shape), *(self.weights[row] for row in near)]
+        p, at = np.exp(log_p), np.arange(len(target))
+        parts = [p * x for x in f]
+        means = [x.sum(axis=1, dtype=float) for x in parts]
+        gradient = [float((x[at, target] - m).sum()) for x, m in zip(f, means)]
+        hessian = [[float(np.einsum("ij,ij->", x, y, dtype=float) - m @ o) for y, o in zip(f, means)] for x, m in zip(parts, means)]
+        return np.column_stack([gradient, hessian])
 
 
 @dataclass
 class Model:
     config: Config
-    weights: np.ndarray
-    klass: np.ndarray  # of each bucket or group
-    within: np.ndarray  # log share of each bucket in its class; of a group, what its words' log counts lack to that
-    head: np.ndarray | None = None  # hashes of the most frequent words, sorted
-    logs: np.ndarray | None = None  # their log counts
-    counts: DataFrame | None = None  # word, n: all words; stays with the driver
-
-    def targets(self, words: np.ndarray) -> np.ndarray:
-        return (words % np.uint64(self.config.buckets or self.config.groups)).astype(np.int64)
+    head: np.ndarray  # hashes of the most frequent words, sorted
+    logs: np.ndarray  # log counts of the head
+    rank: np.ndarray  # of the head: place among the top words by frequency, or -1
+    counts: DataFrame | None  # word, n: all words; stays with the driver
+    klass: np.ndarray  # of each top word, then of each group
+    total: np.ndarray  # log of each class's counts
+    weights: np.ndarray | None = None  # input rows x classes
+    bias: np.ndarray | None = None
+
+    def ranks(self, words: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
+        """Of every word its rank, -1 beyond the top. ``logs`` is filled with log counts; nan where they lack."""
+        if not len(self.head):
+            if logs is not None:
+                logs[:] = np.nan
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
+        known = self.head[at] == words
+        if logs is not None:
+            logs[:] = np.where(known, self.logs[at], np.nan)
+        return np.where(known, self.rank[at], -1)
+
+    def rows(self, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Which entry of klass is each word's."""
+        return np.where(rank >= 0, rank, len(self.klass) - self.config.groups + (words % np.uint64(self.config.groups)).astype(np.int64))
+
+    def seen(self, words: np.ndarray, first: np.ndarray, logs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Input rows by place, and classes."""
+        c = self.config
+        rank = self.ranks(words, logs)
+        klass = self.klass[self.rows(words, rank)]
+        own = c.inputs - c.classes - 1
+        near = around(np.where((rank >= 0) & (rank < own), rank, own + klass), first, c.places, c.inputs - 1)
+        return near + np.arange(len(near))[:, None] * c.inputs, klass
 
     def log_probabilities(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every word, given the words around it; and which words still lack their log count."""
-        net, bucket = Network(self.config, self.weights), self.targets(words)
-        near, out = neighbours(words, first, self.config), np.empty(len(words))
+        net, logs, out = Network(self.weights, self.bias), np.empty(len(words)), np.empty(len(words))
+        near, klass = self.seen(words, first, logs)
         for a in range(0, len(words), self.config.chunk):
-            b = bucket[a : a + self.config.chunk]
-            _, z = net.forward(near[:, a : a + self.config.chunk])
-            out[a : a + len(b)] = z[np.arange(len(b)), self.klass[b]] + self.within[b]
-        if self.config.buckets:
-            return out, np.zeros(len(words), bool)
-        if not len(self.head):
-            return out, np.ones(len(words), bool)
-        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
-        rare = self.head[at] != words
-        out += np.where(rare, 0.0, self.logs[at])
-        return out, rare
-
-
-SMOOTH = 0.1  # added to every count
+            k = klass[a : a + self.config.chunk]
+            out[a : a + len(k)] = net.forward(near[:, a : a + len(k)])[np.arange(len(k)), k]
+        lacking = np.isnan(logs)
+        return out - self.total[klass] + np.where(lacking, 0.0, logs), lacking
 
 
 def word_counts(docs: DataFrame, text_col: str, scratch: Scratch, most: int = 1 << 20) -> DataFrame:
@@ -143,7 +162,7 @@ def word_counts(docs: DataFrame, text_col: str, scratch: Scratch, most: int = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, data, at in text_slices(batch, text_col):
+            for _, _, data, at in text_slices(batch, "text"):
                 words = word_hashes(data, at)[0]
                 if not len(words):
                     continue
@@ -155,11 +174,11 @@ def word_counts(docs: DataFrame, text_col: str, scratch: Scratch, most: int = 1
         if held:
             yield rows(held)
 
-    return scratch.save(docs.select(text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    return scratch.save(docs.select(named(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
 
 def dealt_counts(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrences and distinct words of each of ``size`` buckets: one row per bucket reaches the driver."""
+    """Occurrences and distinct words of each of ``size`` groups: one row per group reaches the driver."""
     unsigned = F.pmod(F.pmod("word", F.lit(size)) + F.when(F.col("word") < 0, 2**64 % size).otherwise(0), F.lit(size))
     got = counts.groupBy(unsigned.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toPandas()
     n, words = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -169,76 +188,178 @@ def dealt_counts(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and log counts of the words that occur more often than some number: ``most`` words at most."""
+    """Hashes, sorted, and counts of the words that occur more often than some number: ``most`` words at most."""
     many = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
     over = many["n"][many["words"].cumsum() > most]
     got = counts.where(F.col("n") > int(over.iloc[0] if len(over) else 0)).toPandas()
     words = got["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
-    return words[order], np.log(got["n"].to_numpy(np.int64)[order] + SMOOTH)
+    return words[order], got["n"].to_numpy(np.int64)[order]
+
 
+def ranked(head: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
+    """The place of each word of the head by count, then hash; -1 from the ``most``-th on."""
+    rank = np.empty(len(head), np.int64)
+    rank[np.lexsort((head, -n))] = np.arange(len(head))
+    return np.where(rank < most, rank, -1)
 
-def classes_of(counts: np.ndarray, classes: int) -> np.ndarray:
-    """The most frequent words have classes of their own; the rest are dealt out to even the classes' counts."""
-    order = np.argsort(-counts, kind="stable")
-    out = np.empty(len(counts), np.int64)
-    alone = classes // 2
-    out[order[:alone]] = np.arange(alone)
-    rest = counts[order[alone:]].astype(float) + 1
-    out[order[alone:]] = alone + np.minimum((np.cumsum(rest) - rest) * (classes - alone) / rest.sum(), classes - alone - 1).astype(np.int64)
+
+def summed(docs: DataFrame, text_col: str, scratch: Scratch, name: str, shape: tuple[int, int], add: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """A matrix that ``add(words, first, matrix)`` adds to for every slice of the texts, summed by Spark: one row per
+    row that isn't all zero. Its size is fixed, so each task and the driver hold no more."""
+    names = [f"x{i}" for i in range(shape[1])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, some = np.zeros(shape), False
+        for batch in batches:
+            for _, _, data, at in text_slices(batch, "text"):
+                words, first = word_hashes(data, at)
+                if len(words):
+                    add(words, first, out)
+                    some = True
+        if some:
+            full = np.flatnonzero(out.any(axis=1))
+            for a in range(0, len(full), 1 << 13):
+                part = full[a : a + (1 << 13)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(x) for x in np.ascontiguousarray(out[part].T))], names=["row", *names])
+
+    parts = docs.select(named(text_col).alias("text")).mapInArrow(run, "row long, " + ", ".join(f"{x} double" for x in names))
+    got = scratch.save(parts.groupBy("row").agg(*[F.sum(x).alias(x) for x in names]), name).toPandas()
+    out = np.zeros(shape)
+    out[got["row"].to_numpy(np.int64)] = got[names].to_numpy(float).reshape(-1, shape[1])
+    scratch.drop(name)
     return out
 
 
+def clusters(points: np.ndarray, mass: np.ndarray, k: int, turns: int = 15, seed: int = 1) -> np.ndarray:
+    """k-means of points by mass; the first centres are drawn one after the other, each in proportion to its distance."""
+    r = np.random.default_rng(seed)
+    centres, far = [points[mass.argmax()]], np.full(len(points), np.inf)
+    for _ in range(k - 1):
+        far = np.minimum(far, ((points - centres[-1]) ** 2).sum(axis=1))
+        p = np.cumsum(far * mass)
+        centres.append(points[min(np.searchsorted(p, r.random() * p[-1]), len(points) - 1)])
+    centres = np.array(centres)
+    for _ in range(turns):
+        own = ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+        weight = np.bincount(own, weights=mass, minlength=k)
+        total = np.zeros_like(centres)
+        sums_by(own, points * mass[:, None], total)
+        centres = np.where(weight[:, None] > 0, total / np.maximum(weight, 1e-9)[:, None], centres)
+    return ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+
+
 def fit(docs: DataFrame, text_col: str = "text", config: Config | None = None) -> Model:
-    """Counts and weights over all documents. Null and empty texts add nothing; without any word the
-    model keeps its first weights and even counts. Each class keeps room for one word that isn't in the corpus."""
+    """Counts, classes and weights from all documents; a document that repeats counts as often. Null and empty texts add
+    nothing. Each class keeps room for one word that isn't in the corpus. Words of equal count are ranked by hash.
+    Other columns are not read. An empty table gives a model that knows no word."""
     c, spark = config or Config(), docs.sparkSession
     scratch = Scratch(spark, "lm")
     counts = word_counts(docs, text_col, scratch)
-    n, distinct = dealt_counts(counts, c.buckets or c.groups)
-    klass = classes_of(n, c.classes)
-    if c.buckets:
-        smooth = n + SMOOTH
-        model = Model(c, Network(c).flat(), klass, np.log(smooth) - np.log(np.bincount(klass, weights=smooth, minlength=c.classes))[klass])
+    n, distinct = dealt_counts(counts, c.groups)
+    head, often = head_of(counts, c.head)
+    rank = ranked(head, often, c.top)
+    tops, is_top = int((rank >= 0).sum()), rank >= 0
+    group = (head[is_top] % np.uint64(c.groups)).astype(np.int64)
+    np.subtract.at(n, group, often[is_top])
+    np.subtract.at(distinct, group, 1)
+    mass, kinds = np.zeros(tops + c.groups), np.ones(tops + c.groups)
+    mass[rank[is_top]] = often[is_top]
+    mass[tops:], kinds[tops:] = n, distinct
+    model = Model(c, head, np.log(often + SMOOTH), rank, counts, np.zeros(tops + c.groups, np.int64), np.zeros(c.classes))
+
+    def shared(m: Model):
+        """What tasks need for training: the top words only."""
+        return spark.sparkContext.broadcast(replace(m, head=head[is_top], logs=m.logs[is_top], rank=rank[is_top], counts=None))
+
+    sent = shared(model)
+
+    def beside(words: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+        m = sent.value
+        r = m.ranks(words)
+        row = m.rows(words, r)
+        near = around(np.where((r >= 0) & (r < c.signs), r, -1), first, c.places, -1)
+        out += np.bincount((near + row * c.signs)[near >= 0], minlength=out.size).reshape(out.shape)
+
+    profile = summed(docs, text_col, scratch, "profile", (len(mass), c.signs), beside)
+    sent.unpersist()
+    every = profile.sum(axis=0) / max(1.0, profile.sum())
+    points = np.sqrt((profile + 2 * every) / (profile.sum(axis=1, keepdims=True) + 2))
+    alone = min(c.alone, tops)
+    model.klass[:alone] = np.arange(alone)
+    if mass.sum():
+        model.klass[alone:] = c.alone + clusters(points[alone:], mass[alone:], c.classes - c.alone)
     else:
-        total = np.bincount(klass, weights=n + SMOOTH * distinct, minlength=c.classes) + SMOOTH
-        model = Model(c, Network(c).flat(), klass, -np.log(total)[klass], *head_of(counts, c.head), counts)
-    row = c.hidden
-
+        model.klass[alone:] = c.alone
+    model.total = np.log(np.bincount(model.klass, weights=mass + SMOOTH * kinds, minlength=c.classes) + SMOOTH)
+    share = np.bincount(model.klass, weights=mass, minlength=c.classes) + SMOOTH
+    share /= share.sum()
+    sent, rows = shared(model), len(c.places) * c.inputs
+
+    def beside_inputs(words: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+        near, klass = sent.value.seen(words, first)
+        out += np.bincount((near * c.classes + klass).ravel(), minlength=out.size).reshape(out.shape)
+
+    met = summed(docs, text_col, scratch, "met", (rows, c.classes), beside_inputs)
+    sent.unpersist()
+    model.bias = np.log(share)
+    model.weights = np.log((met + PRIOR * share) / (met.sum(axis=1, keepdims=True) + PRIOR)) - model.bias
+    gains = np.array([1.0, *[c.gain] * len(c.places)])
+    if not c.rounds:
+        return _with_gains(model, gains)
     for k in range(c.rounds):
-        shared = spark.sparkContext.broadcast(replace(model, head=None, logs=None, counts=None))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            net, seen = Network(c, m.weights), 0
-            for batch in batches:
-                for _, _, data, at in text_slices(batch, text_col):
-                    words, first = word_hashes(data, at)
-                    if not len(words):
-                        continue
-                    near, target = neighbours(words, first, c), m.klass[m.targets(words)]
-                    for a in range(0, len(words), c.chunk):
-                        net.train(near[:, a : a + c.chunk], target[a : a + c.chunk])
-                    seen += len(words)
-            if seen:
-                flat = net.flat()
-                flat = np.append(flat, np.zeros(-len(flat) % row, np.float32)).reshape(-1, row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), float(seen))), *(pa.array(x.astype(np.float32)) for x in flat.T)], names=names)
-
-        names = ["row", "seen", *(f"x{i}" for i in range(row))]
-        part = docs if c.rounds == 1 else docs.where(F.pmod(F.xxhash64(text_col), F.lit(c.rounds)) == k)
-        trained = part.select(text_col).mapInArrow(run, "row long, seen double, " + ", ".join(f"{x} float" for x in names[2:]))
-        mean = trained.groupBy("row").agg(*[(F.sum(F.col(x).cast("double") * F.col("seen")) / F.sum("seen")).cast("float").alias(x) for x in names[2:]])
-        got = scratch.save(mean, f"weights{k}").toPandas().sort_values("row")
-        if len(got):
-            model = replace(model, weights=got[names[2:]].to_numpy(np.float32).ravel()[: len(model.weights)])
-        shared.unpersist()
+        part = docs.where(F.pmod(F.xxhash64(named(text_col)), F.lit(c.rounds)) == k)
+        model = _scaled(part, text_col, scratch, model, share, shared, k) if k else _gains(part, text_col, scratch, model, gains, shared)
     return model
 
 
+def _with_gains(model: Model, gains: np.ndarray) -> Model:
+    return replace(model, bias=model.bias * gains[0], weights=model.weights * np.repeat(gains[1:], model.config.inputs)[:, None])
+
+
+def _gains(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, gains: np.ndarray, shared: Callable) -> Model:
+    """One Newton step on the gains, held near where they were while there is little to learn from."""
+    c, sent = model.config, shared(model)
+
+    def slopes(words: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+        m = sent.value
+        now = _with_gains(m, gains)
+        plain, net = Network(m.weights, m.bias), Network(now.weights, now.bias)
+        near, klass = m.seen(words, first)
+        for a in range(0, len(words), c.chunk):
+            x = near[:, a : a + c.chunk]
+            out += plain.slopes(x, klass[a : a + c.chunk], net.forward(x))
+
+    got = summed(docs, text_col, scratch, "slopes", (len(gains), len(gains) + 1), slopes)
+    sent.unpersist()
+    step = np.linalg.solve(got[:, 1:] + 10 * np.eye(len(gains)), got[:, 0])
+    return _with_gains(model, np.clip(gains + step, 0.0, 2.0))
+
+
+def _scaled(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, share: np.ndarray, shared: Callable, k: int) -> Model:
+    """One step of iterative scaling: each word has as many inputs as there are places, so each takes that part of the log ratio."""
+    c, sent, rows = model.config, shared(model), len(model.weights)
+
+    def both(words: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
+        m = sent.value
+        net = Network(m.weights, m.bias)
+        near, klass = m.seen(words, first)
+        for a in range(0, len(words), c.chunk):
+            x = near[:, a : a + c.chunk]
+            p = np.exp(net.forward(x))
+            for row in x:
+                sums_by(row, p, out[rows:])
+        out[:rows] += np.bincount((near * c.classes + klass).ravel(), minlength=rows * c.classes).reshape(rows, c.classes)
+
+    got = summed(docs, text_col, scratch, f"scaled{k}", (2 * rows, c.classes), both)
+    sent.unpersist()
+    return replace(model, weights=model.weights + np.log((got[:rows] + PRIOR * share) / (got[rows:] + PRIOR * share)) / len(c.places))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, log_likelihood (the sum over all words), per_word (their mean;
-    null without words). Null, empty and blank texts have no words and a sum of 0."""
+    """One row per input row, repeats too: id, n_words, log_likelihood (the sum over all words), per_word (their
+    mean; null without words). Null, empty and blank texts have no words and a sum of 0. A text's score depends on
+    nothing but the text and the model. Other columns are not read."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(replace(model, counts=None))
 
@@ -246,7 +367,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             n, total, rare, lacking = [], [], [], []
-            for _, _, data, at in text_slices(batch, text_col):
+            for _, _, data, at in text_slices(batch, "text"):
                 words, first = word_hashes(data, at)
                 logs, late = m.log_probabilities(words, first)
                 sums, lates = np.append(0.0, np.cumsum(logs)), np.append(0, np.cumsum(late))
@@ -256,15 +377,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 lacking.append(lates[first[1:]] - lates[first[:-1]])
             n, total, rare, lacking = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((n, np.int64), (total, float), (rare, np.int64), (lacking, np.int64)))
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lacking)).astype(np.int32)), pa.array(rare))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n), pa.array(total), lists], names=["__row", id_col, "n_words", "__sum", "__rare"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n), pa.array(total), lists], names=["row", "id", "n_words", "sum", "rare"])
             row += len(n)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    scored = docs.select(id_col, text_col).mapInArrow(run, f"__row long, {id_col} {kind}, n_words long, __sum double, __rare array<long>")
-    total = F.col("__sum")
+    scored = docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"row long, id {kind}, n_words long, sum double, rare array<long>")
+    total = F.col("sum")
     if model.counts is not None:
         scored = Scratch(spark, "lm-score").save(scored, "scored")  # the rows' numbers hold from here on
-        rare = scored.select("__row", F.explode("__rare").alias("word")).join(model.counts, "word", "left")
-        more = rare.groupBy("__row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("__more"))
-        scored, total = scored.drop("__rare").join(more, "__row", "left"), total + F.coalesce("__more", F.lit(0.0))
-    return scored.select(id_col, "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))
+        rare = scored.select("row", F.explode("rare").alias("word")).join(model.counts, "word", "left")
+        more = rare.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("more"))
+        scored, total = scored.drop("rare").join(more, "row", "left"), total + F.coalesce("more", F.lit(0.0))
+    return scored.select(F.col("id").alias(id_col), "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("per_word"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Scratch, named
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     max_sources, the bound on what the driver keeps, is an error. Other columns are not read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    rows = docs.select(F.col(id_col).alias("ident"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(named(id_col).alias("ident"), named(source_col).alias("source"), F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = scratch.save(rows, "rows")
     counts = scratch.save(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     by = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("size"), F.sum("n").alias("n")).limit(max_sources + 1).collect()
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def copies_of(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents, each as often as the mix takes it, with their own columns. Of rows that share an
     id, each follows the mix's mean for that id, rounded up."""
-    take = mixed.groupBy(F.col(id_col).alias("of")).agg(F.ceil(F.avg("copies")).cast("int").alias("copies"))
-    whole = docs.select(F.col(id_col).alias("ident"), F.struct("*").alias("row"))
+    take = mixed.groupBy(named(id_col).alias("of")).agg(F.ceil(F.avg("copies")).cast("int").alias("copies"))
+    whole = docs.select(named(id_col).alias("ident"), F.struct("*").alias("row"))
     joined = whole.join(take, whole["ident"].eqNullSafe(take["of"]))
     return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, split_join, text_slices, word_hashes
+from .common import Scratch, mix, named, split_join, text_slices, word_hashes
 
 #: 60 bands of 6 rows: a pair at similarity 0.8 shares no bucket with a chance of (1 - 0.8^6)^60 = 1e-8.
 BANDS, ROWS = 60, 6
@@ -91,7 +91,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: in
         sketch = Sketch(bands, rows)
         for batch in batches:
             sizes, names, keys, ends = [], [], [], [0]
-            for s in shingle_sets(batch, text_col, width):
+            for s in shingle_sets(batch, "text", width):
                 sizes.append(len(s))
                 names.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
@@ -101,7 +101,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, width: int, bands: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "n", "name", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_col).mapInArrow(run, f"id {kind}, n long, name binary, keys array<long>")
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, name binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -237,7 +237,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * percent
     size = bucket.select("id", "n").distinct()
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     # the plan is the same at every size: the ids grow with the documents and aren't broadcast
@@ -265,7 +265,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = scratch.save(rows_.select("bucket", "i", "j", "asks", "id", "component", "items").mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "links1")
     scratch.drop("sets", "mixed", "main", "buckets")
     label = scratch.save(components(links.union(more), scratch, "cc2_"), "label2")
-    named = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
-    out = table.select("id", "n", "name").join(named, "name", "left")
+    labelled = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("name", F.coalesce("component", "rep").alias("component_id"))
+    out = table.select("id", "n", "name").join(labelled, "name", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

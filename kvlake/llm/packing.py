@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, named
 
 # The pattern that byte-level tokenizer files imply, and the bytes that stand for themselves
 # in their vocabularies; the other bytes stand, in order, as the characters from 256 on.
@@ -72,7 +72,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per piece of each document: id, piece, start, length, ids_crc32."""
+    """One row per piece of each document: id (of that name), piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
@@ -88,10 +88,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
                     a, b = bounds[k], bounds[k + 1]
                     for to, v in zip(rows, (i, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
                         to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=[id_col, "piece", "start", "length", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(cut, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_two_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,13 +167,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, i
     n = cut.count()
     blocks = max(1, -(-n // block_pieces))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([(id_col, "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         bins, offsets = best_two_fit(table.column("length").to_numpy(), length)
         first = key[0].as_py() << 40
         return pa.table([*(table.column(c) for c in names[:5]), pa.array(bins + first), pa.array(offsets)], names=names)
 
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(block, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(block, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)

@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and novelty to a dictionary-primed zstandard compressor.
 
-A candidate is a long unbroken run of key characters with a sensitive word shortly before or after it. Its
-novelty is the number of bytes it adds to the compressed form of the text around it, with a
-dictionary of common identifiers loaded: names, paths and repeated values cost little, random keys
-nearly a byte for every 8 bits they hold. Candidates that don't compress are reported.
+A candidate is an unbroken run of 16 key characters or more with a sensitive word within 48 characters before
+or after it. Its novelty is the number of bytes it adds to the compressed form of the text around it, with two
+dictionaries loaded: a fixed one of common identifiers, and the 8,192 most frequent words of the whole corpus,
+counted over every document; case is levelled. Names, paths and repeated values cost little, random keys nearly a byte a character.
+Candidates that cost ``least`` bytes a character or more are reported; nothing but the compressor decides.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import named
 
 # The base patterns and the lengths that count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,13 +40,40 @@ IDENTIFIERS = (
 )
 
 
+#: What the corpus's dictionary is made of: the parts of names, shorter than any candidate, so that a key which
+#: was leaked often doesn't become a word itself.
+PART = re.compile(r"(?<![A-Za-z])[A-Za-z][a-z]{3,14}(?![a-z])|(?<=[a-z])[A-Z][a-z]{3,14}(?![a-z])")
+
+
+def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 8192, held: int = 1 << 18) -> list[str]:
+    """The ``most`` words, lower-cased, that occur most often in all documents, the rarest first; of equally frequent ones those
+    first by code point are taken. The driver gets no more rows than that; a worker holds ``held`` words at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                n.update(map(str.lower, PART.findall(value.as_py() or "")))
+                if len(n) > held:
+                    yield rows(n)
+                    n = Counter()
+        yield rows(n)
+
+    def rows(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(named(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()][::-1]
+
+
 class Novelty:
-    def __init__(self, context: int = 256, least: float = 0.62):
+    def __init__(self, words: list[str] = (), context: int = 256, least: float = 0.75):
         import zstandard
 
         self.context, self.least = context, least
-        words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.zip = zstandard.ZstdCompressor(level=12, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False)
+        known = zstandard.ZstdCompressionDict(" ".join([*words, IDENTIFIERS]).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        known.precompute_compress(level=12)
+        self.zip = zstandard.ZstdCompressor(level=12, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def added(self, around: bytes, candidate: bytes) -> int:
         """The bytes that the candidate adds to the compressed form of its surroundings."""
@@ -56,8 +88,8 @@ class Novelty:
             s = m[0]
             if furthest[bisect_left(taken, (b,))] > a or not (SENSITIVE.search(text, max(0, a - 48), a) or SENSITIVE.search(text, b, b + 48)):
                 continue
-            around = (text[max(0, a - self.context) : a] + text[b : b + self.context]).encode("utf-8", "replace")
-            if self.added(around, s.encode()) >= self.least * len(s):
+            around = (text[max(0, a - self.context) : a] + text[b : b + self.context]).lower().encode("utf-8", "replace")
+            if self.added(around, s.lower().encode()) >= self.least * len(s):
                 out.append((a, b))
         return out
 
@@ -78,14 +110,16 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.62, context: int = 256) -> DataFrame:
-    """One row per input row: id, n_assign, n_access, n_hex, n_novel, base_sha256, spans, found.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.75, context: int = 256, words: list[str] | None = None) -> DataFrame:
+    """One row per input row, repeats too: id, n_assign, n_access, n_hex, n_novel, base_sha256, spans, found.
 
     found: an array of (kind, start, end, text). Null and empty texts have no spans, and base_sha256 of
-    the empty string. Novel spans never overlap the base ones. Other columns are not read."""
+    the empty string. Novel spans never overlap the base ones. words: the dictionary, the rarest first; without,
+    corpus_words of docs. Spans that begin at one place are in the order of their kinds. Other columns are not read."""
+    known = corpus_words(docs, text_col) if words is None else words
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(context, least)
+        novelty = Novelty(known, context, least)
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for value in batch.column(1):
@@ -100,6 +134,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = pa.array(out[6], pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:4]), *(pa.array(c, pa.string()) for c in out[4:6]), found], names=names)
 
-    names = [id_col, "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "found"]
+    names = ["id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", "found"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(scan, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,text:string>>")
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(scan, f"id {kind}, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, found array<struct<kind:string,start:long,end:long,text:string>>").withColumnRenamed("id", id_col)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, named
 
 
 def _range_of(splitters: list[tuple], key: Column, ident: Column) -> Column:
@@ -54,9 +54,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     without gaps. Records with equal text and id are interchangeable; null ids come first among equal
     texts. The driver sees at most 4 * max_ranges splitters and counts. An empty table gives none."""
     scratch = Scratch(docs.sparkSession, "shard")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("ident"),
+        named(id_col).alias("ident"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("key"),

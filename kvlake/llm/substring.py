@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, split_join, text_slices, word_hashes
+from .common import Scratch, mix, named, split_join, text_slices, word_hashes
 
 
 def _rolled(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -180,7 +180,7 @@ class WindowIndex:
 def _splits(docs: DataFrame, id_col: str, batches: int) -> list:
     """Ids that part the documents into batches of about equal numbers."""
     at = [i / batches for i in range(1, batches)]
-    got = docs.select(F.percentile_approx(id_col, at, 10_000).alias("q")).first()["q"] if at else []
+    got = docs.select(F.percentile_approx(named(id_col), at, 10_000).alias("q")).first()["q"] if at else []
     return sorted({x for x in got or [] if x is not None})
 
 
@@ -194,10 +194,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A row without an id keeps its words, and none go on its account. Other columns are not read."""
     spark = docs.sparkSession
     s = Scratch(spark, "substring")
-    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    plain = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
     index = WindowIndex(s, plain.schema["id"].dataType.simpleString(), window, gram, fan)
     cuts = [None, *_splits(docs, id_col, batches), None]
-    names, out_schema = [id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if with_text else 4], f"`{id_col}` {index.kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    names, out_schema = ["id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if with_text else 4], f"id {index.kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_:
@@ -222,4 +222,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out
+    return out.withColumnRenamed("id", id_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, parts
+from .common import Scratch, named, parts
 
 
 def codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int, segments: int) -> DataFrame:
@@ -32,11 +32,11 @@ def codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int, segments:
     def segment(s: int) -> F.Column:
         value = F.lit(0).cast("long")
         for j in range(width):
-            x = F.get(F.col(vector_col), F.lit(s * width + j))
+            x = F.get(named(vector_col), F.lit(s * width + j))
             value = value + F.when((x > 0) & ~F.isnan(x), F.lit(1 << j)).otherwise(F.lit(0))
         return value
 
-    return vectors.where(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.array(*[segment(s) for s in range(segments)]).alias("segs"))
+    return vectors.where(named(vector_col).isNotNull() & named(id_col).isNotNull()).select(named(id_col).alias("id"), F.array(*[segment(s) for s in range(segments)]).alias("segs"))
 
 
 def flips(width: int, radius: int) -> np.ndarray:

@@ -365,6 +365,63 @@ def test_secrets_of_any_characters(spark):
     assert got[0] == [letters] and got[1] == [digits] and got[5] == [few] and got[2] == ["q7Zt9Lw2Xv4Nb8Rk1Yp6Hd3Gs5Jf0Mc"] and got[3] == got[4] == []
 
 
+def test_secrets_recall_and_precision(spark):
+    """Keys that no base pattern matches, in contexts of a word or two, among names, paths and values that are made of
+    the corpus's own words: of keys at least 97 % are told, of what is told at least 90 % are keys (measured: 98.7 and 91.6 %)."""
+    import random
+    import string
+
+    r = random.Random(11)
+    corpus = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text")
+    often = Counter(w for t in corpus.toPandas()["text"].dropna() for w in re.findall(r"\b[a-z]{4,12}\b", t))
+    some = [w for w, n in sorted(often.items()) for _ in range(n if n > 3 else 0)]
+    alphabets = [string.ascii_letters, string.ascii_letters + string.digits, string.ascii_lowercase, string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "+/", string.digits]
+    lead, tail = ["auth key = ", "Authorization: Bearer ", "cookie ", "sign with ", "login as x, ", "private: "], ["", " is the session cookie", "\n"]
+    docs, keys = [], {}
+    for i in range(300):
+        kind = i % len(alphabets)
+        key = "".join(r.choice(alphabets[kind]) for _ in range(22 if kind == 5 else r.choice([20, 24, 32, 40])))  # 24 digits are a base span
+        keys[i] = key
+        docs.append((i, " ".join(r.choices(some, k=20)) + " " + r.choice(lead) + key + r.choice(tail) + " " + " ".join(r.choices(some, k=5))))
+    for i in range(300, 900):
+        words = r.choices(some, k=r.randrange(3, 6))
+        name = [lambda: "/" + "/".join(words), lambda: ".".join(words), lambda: "_".join(words), lambda: "".join(w.title() for w in words), lambda: "-" * 30, lambda: "=".join(words[:1] * 6)][i % 6]()
+        docs.append((i, " ".join(r.choices(some, k=20)) + " " + r.choice(lead) + name + r.choice(tail) + " " + " ".join(some[j] for j in r.sample(range(len(some)), 20))))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    words = secrets.corpus_words(frame.select("text").union(corpus))
+    told = {x.doc_id: [f.text for f in x.found if f.kind == "novel"] for x in secrets.find_secrets(frame, words=words).collect()}
+    right = sum(keys[i] in told[i] for i in keys)
+    false = [t for i, ts in told.items() for t in ts if t != keys.get(i)]
+    assert right >= 0.97 * len(keys) and right >= 0.9 * (right + len(false)), (right, len(false), false[:20])
+
+
+def test_corpus_words(spark, none, odd):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alphaBeta alpha", "alpha gamma_delta XYZabcd", None, "abcdefghijklmnopqrst", "gamma"])], "doc_id long, text string").repartition(3)
+    assert secrets.corpus_words(docs, most=3) == ["beta", "gamma", "alpha"]
+    assert set(secrets.corpus_words(docs, held=1)) == {"alpha", "beta", "gamma", "delta"}
+    assert secrets.corpus_words(none) == [] and secrets.find_secrets(odd.withColumnRenamed("doc_id", "a b.c"), id_col="a b.c", words=[]).columns[0] == "a b.c"
+
+
+def test_column_names_of_any_characters(spark):
+    """An id, a text, a source and a language column whose names hold spaces, dots and backticks."""
+    from kvlake.llm import near_dedup, substring
+
+    i, t, g = "a b.`c", "te.xt", "so urce"
+    docs = spark.createDataFrame([(1, "one two three", "x"), (2, "One two three", "y"), (None, None, None)], "i long, t string, g string").toDF(i, t, g)
+    assert {r[0]: r.kept for r in exact_dedup.exact_dedup(docs, i, t).collect()}[2] is False
+    assert {r[0]: r.component_id for r in near_dedup.near_dedup(docs, i, t).collect()} == {1: 1, 2: 1, None: None}
+    for got in (
+        sharding.shard(docs, 2, i, t),
+        langid.predict(docs, langid.fit(docs, t, g), t, (i,)),
+        mixing.mix(docs, i, t, g),
+        packing.pack(docs, queries.tokenizer_path(), id_col=i, text_col=t),
+        secrets.find_secrets(docs, i, t),
+        substring.substring_dedup(docs, i, t),
+    ):
+        assert got.columns[0] == i and {r[0] for r in got.collect()} == {1, 2, None}
+    assert mixing.copies_of(docs, mixing.mix(docs, i, t, g), i).columns == [i, t, g]
+
+
 def test_letters():
     assert all(langid.has_letter(t) for t in ("a", "1é", "ª", "字 2", "_b_"))
     assert not any(langid.has_letter(t) for t in ("", "12 _", "²½Ⅷ", "!? ٣", "①"))
