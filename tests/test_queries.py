@@ -1,6 +1,7 @@
 """Every query of the store against its SQL in DuckDB."""
 
 import os
+import sys
 
 import duckdb
 import pandas as pd
@@ -8,6 +9,7 @@ import pytest
 
 import __spark_entry__
 from kvlake.plans import queries as core
+from kvlake.sources.shared import shared_folder
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +38,28 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("missing", ["kvlake.llm", "kvlake.llm.queries", "corpus_pipeline"])
+def test_entry_without_the_corpus_operators(monkeypatch, missing):
+    """A module that isn't there, or that lacks something it imports, leaves the store's queries whole."""
+    for name in [m for m in sys.modules if m.startswith("kvlake.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, missing, None)
+    got = __spark_entry__.queries()
+    assert set(core.QUERIES) <= set(got) and "pipeline" not in got
+    assert set(core.ORACLES) <= set(__spark_entry__.oracle_sql())
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master, getCheckpointDir = "spark://host:7077", staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
 def test_all_runs_and_rows(spark):
     """More rows than three of eight runs have, and the rate over every row outside layer 0."""
     m = core.mut(spark, SF).toPandas()
