@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,54 +12,75 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 #: A word, in Java's, RE2's and Python's syntax alike.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in
-    tests on one machine, a temporary folder becomes the checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
-        if not root:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kvlake-"))
-            root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+@contextlib.contextmanager
+def settings(spark: SparkSession, *on: str, off: tuple[str, ...] = ()) -> Iterator[None]:
+    """Settings of the session that are true, or false, within the block."""
+    before = {k: spark.conf.get(k, "false") for k in (*on, *off)}
+    try:
+        for k in before:
+            spark.conf.set(k, "true" if k in on else "false")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+_OPEN: list[list[Scratch]] = []
 
 
 class Scratch:
     """Written tables in the shared folder. They cut lineage and survive lost executors.
 
     ``save`` writes a table and returns it as read back; its shuffle files go as soon as it is
-    written. ``drop`` removes one; the rest goes when the driver's Python ends."""
+    written. ``drop`` removes tables, ``end`` all of them. What is left goes at the end of the surrounding
+    ``passing`` block, or when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._end)
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        if _OPEN:
+            _OPEN[-1].append(self)
+        else:
+            atexit.register(self._quietly)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with settings(self.spark, CLEANUP):
             df.write.mode("overwrite").parquet(f"{self.base}/{name}")
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:
             self._remove(f"{self.base}/{name}")
 
+    def end(self) -> None:
+        self._remove(self.base)
+
     def _remove(self, path: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 
-    def _end(self) -> None:
+    def _quietly(self) -> None:
         with contextlib.suppress(Exception):  # the JVM may be gone by now
-            self._remove(self.base)
+            self.end()
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """The tables that operators write within the block go when it ends, also by an error. What the block returns must
+    be written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for scratch in _OPEN.pop():
+            scratch.end()
 
 
 def named(column: str) -> Column:
@@ -68,6 +88,14 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (a written table) whose n is above some number, the least one that leaves ``most`` rows at most:
+    equal counts go or stay together. One row for each distinct n reaches the driver."""
+    many = counts.groupBy("n").agg(F.count("*").alias("rows")).toPandas().sort_values("n", ascending=False)
+    over = many["n"][many["rows"].cumsum() > most]
+    return counts.where(F.col("n") > int(over.iloc[0] if len(over) else 0))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, named, text_slices, word_hashes
+from .common import Scratch, frequent, named, text_slices, word_hashes
 
 
 @dataclass(frozen=True)
@@ -45,7 +45,7 @@ class Config:
     reach: int = 2
     rounds: int = 2
     gain: float = 0.6  # of each place before training
-    chunk: int = 2048
+    chunk: int = 8192
 
     @property
     def places(self) -> list[int]:
@@ -80,25 +80,39 @@ class Network:
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.weights, self.bias = weights.astype(np.float32), bias.astype(np.float32)
 
-    def forward(self, near: np.ndarray) -> np.ndarray:
-        """near: input rows by place. The log-probability of every class."""
+    def odds(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """near: input rows by place. Logs of odds of every class, the odds, and their sums."""
         z = self.bias + self.weights[near[0]]
         for row in near[1:]:
             z += self.weights[row]
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        e = np.exp(z)
+        return z, e, e.sum(axis=1)
 
-    def slopes(self, near: np.ndarray, target: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    def probabilities(self, near: np.ndarray) -> np.ndarray:
+        _, e, total = self.odds(near)
+        e /= total[:, None]
+        return e
+
+    def slopes(self, near: np.ndarray, target: np.ndarray, gains: np.ndarray) -> np.ndarray:
         """Gradient and Hessian of the log-likelihood by the gains of the bias and of each place: a row each, in one column
         the gradient, in the others the Hessian."""
-        f = [np.broadcast_to(self.bias, log_p.shape), *(self.weights[row] for row in near)]
-        p, at = np.exp(log_p), np.arange(len(target))
-        parts = [p * x for x in f]
-        means = [x.sum(axis=1, dtype=float) for x in parts]
-        gradient = [float((x[at, target] - m).sum()) for x, m in zip(f, means)]
-        hessian = [[float(np.einsum("ij,ij->", x, y, dtype=float) - m @ o) for y, o in zip(f, means)] for x, m in zip(parts, means)]
-        return np.column_stack([gradient, hessian])
+        k, n, c = len(gains), len(target), len(self.bias)
+        f = np.empty((k, n, c), np.float32)
+        f[0] = self.bias
+        for i, row in enumerate(near):
+            np.take(self.weights, row, axis=0, out=f[i + 1])
+        p = (gains.astype(np.float32) @ f.reshape(k, -1)).reshape(n, c)
+        p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        there = f[:, np.arange(n), target].sum(axis=1, dtype=float)
+        f *= np.sqrt(p)
+        flat = f.reshape(k, -1)
+        second = (flat @ flat.T).astype(float)
+        f *= np.sqrt(p)
+        means = f.sum(axis=2).astype(float)
+        return np.column_stack([there - means.sum(axis=1), second - means @ means.T])
 
 
 @dataclass
@@ -144,7 +158,8 @@ class Model:
         near, klass = self.seen(words, first, logs)
         for a in range(0, len(words), self.config.chunk):
             k = klass[a : a + self.config.chunk]
-            out[a : a + len(k)] = net.forward(near[:, a : a + len(k)])[np.arange(len(k)), k]
+            z, _, total = net.odds(near[:, a : a + len(k)])
+            out[a : a + len(k)] = z[np.arange(len(k)), k] - np.log(total)
         lacking = np.isnan(logs)
         return out - self.total[klass] + np.where(lacking, 0.0, logs), lacking
 
@@ -189,9 +204,7 @@ def dealt_counts(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def head_of(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the words that occur more often than some number: ``most`` words at most."""
-    many = counts.groupBy("n").agg(F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
-    over = many["n"][many["words"].cumsum() > most]
-    got = counts.where(F.col("n") > int(over.iloc[0] if len(over) else 0)).toPandas()
+    got = frequent(counts, most).toPandas()
     words = got["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     return words[order], got["n"].to_numpy(np.int64)[order]
@@ -323,12 +336,10 @@ def _gains(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, gains
 
     def slopes(words: np.ndarray, first: np.ndarray, out: np.ndarray) -> None:
         m = sent.value
-        now = _with_gains(m, gains)
-        plain, net = Network(m.weights, m.bias), Network(now.weights, now.bias)
+        net = Network(m.weights, m.bias)
         near, klass = m.seen(words, first)
         for a in range(0, len(words), c.chunk):
-            x = near[:, a : a + c.chunk]
-            out += plain.slopes(x, klass[a : a + c.chunk], net.forward(x))
+            out += net.slopes(near[:, a : a + c.chunk], klass[a : a + c.chunk], gains)
 
     got = summed(docs, text_col, scratch, "slopes", (len(gains), len(gains) + 1), slopes)
     sent.unpersist()
@@ -346,9 +357,11 @@ def _scaled(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, shar
         near, klass = m.seen(words, first)
         for a in range(0, len(words), c.chunk):
             x = near[:, a : a + c.chunk]
-            p = np.exp(net.forward(x))
-            for row in x:
-                sums_by(row, p, out[rows:])
+            p = np.ascontiguousarray(net.probabilities(x).T, dtype=float)
+            for i, row in enumerate(x - np.arange(len(x))[:, None] * c.inputs):
+                own = out[rows + i * c.inputs : rows + (i + 1) * c.inputs]
+                for j in range(c.classes):
+                    own[:, j] += np.bincount(row, p[j], c.inputs)
         out[:rows] += np.bincount((near * c.classes + klass).ravel(), minlength=rows * c.classes).reshape(rows, c.classes)
 
     got = summed(docs, text_col, scratch, f"scaled{k}", (2 * rows, c.classes), both)

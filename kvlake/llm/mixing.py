@@ -57,6 +57,37 @@ def _rate(most: float) -> F.Column:
     return F.when(F.col("tilt").isNotNull(), F.lit(most) / (1 + F.exp(-F.col("tilt") * F.col("size")))).otherwise(F.lit(most))
 
 
+def solve(counts: DataFrame, sizes: dict, n: dict, goal: dict, most: float) -> dict:
+    """The tilt per word of each source, None where every document is taken as often as it may be. counts: source, size, n.
+    Sums are exact decimals of the rows' terms, so their order and with it the partitions decide nothing."""
+    mean = {s: max(1e-9, sizes[s] / n[s]) for s in sizes}
+    lam = {s: math.inf if goal[s] >= most * sizes[s] * (1 - 1e-9) else 0.0 for s in sizes}
+    open_, low, high = {s for s, v in lam.items() if v == 0.0}, dict.fromkeys(lam, -60.0), dict.fromkeys(lam, 60.0)
+    r, exact = _rate(most), lambda x: F.sum(x.cast("decimal(38,6)"))
+
+    def tilts() -> dict:
+        return {s: v / mean[s] if math.isfinite(v) else None for s, v in lam.items()}
+
+    for _ in range(60):
+        if not open_:
+            break
+        got = _with(counts, tilt=tilts()).withColumn("r", r).withColumn("words", F.col("n") * F.col("size")).groupBy("source").agg(exact(F.col("words") * F.col("r")).alias("g"), exact(F.col("words") * F.col("size") * F.col("r") * (1 - F.col("r") / most)).alias("h")).collect()
+        for row in got:
+            s = row["source"]
+            if s not in open_:
+                continue
+            gap, slope = float(row["g"]) - goal[s], float(row["h"])
+            if abs(gap) <= 1e-6 * goal[s]:
+                open_.discard(s)
+                continue
+            low[s], high[s] = (low[s], lam[s]) if gap > 0 else (lam[s], high[s])
+            step = lam[s] - gap / (slope / mean[s]) if slope > 0 else math.nan
+            lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
+            if high[s] - low[s] < 1e-13:
+                open_.discard(s)
+    return tilts()
+
+
 def _round(most: float):
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "h"], ascending=[False, True], kind="stable")
@@ -86,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Size: words of the text (null: 0). copies is 0, 1 or 2 (most), taken = copies * size. A document
     without words has taken 0 and one copy. Null is a source of its own. Rows that repeat are rounded
     each by itself. Equal input rows give equal output whatever the partitions. More sources than
-    max_sources, the bound on what the driver keeps, is an error. Other columns are not read."""
+    max_sources, the bound on what the driver keeps and broadcasts (at 100,000 some 10 MB), is an error. Other columns are not read."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
     rows = docs.select(named(id_col).alias("ident"), named(source_col).alias("source"), F.coalesce(F.regexp_count(named(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
@@ -97,33 +128,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         raise ValueError(f"more than {max_sources} sources")
     sizes, n = {r["source"]: r["size"] for r in by}, {r["source"]: r["n"] for r in by}
     goal = targets(sizes, share, most, weights)
-    mean = {s: max(1e-9, sizes[s] / n[s]) for s in sizes}
-    lam = {s: math.inf if goal[s] >= most * sizes[s] * (1 - 1e-9) else 0.0 for s in sizes}
-    open_, low, high = {s for s, v in lam.items() if v == 0.0}, dict.fromkeys(lam, -60.0), dict.fromkeys(lam, 60.0)
-    r = _rate(most)
-
-    def tilts() -> dict:
-        return {s: v / mean[s] if math.isfinite(v) else None for s, v in lam.items()}
-
-    for _ in range(60):
-        if not open_:
-            break
-        got = _with(counts, tilt=tilts()).withColumn("r", r).groupBy("source").agg(F.expr("sum(n * size * r)").alias("g"), F.sum(F.col("n") * F.col("size") * F.col("size") * F.col("r") * (1 - F.col("r") / most)).alias("h")).collect()
-        for row in got:
-            s = row["source"]
-            if s not in open_:
-                continue
-            gap = row["g"] - goal[s]
-            if abs(gap) <= 1e-6 * goal[s]:
-                open_.discard(s)
-                continue
-            low[s], high[s] = (low[s], lam[s]) if gap > 0 else (lam[s], high[s])
-            step = lam[s] - gap / (row["h"] / mean[s]) if row["h"] > 0 else math.nan
-            lam[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2
-            if high[s] - low[s] < 1e-13:
-                open_.discard(s)
+    tilt = solve(counts, sizes, n, goal, most)
     blocks = {s: -(-c // block_rows) for s, c in n.items()}
-    rated = _with(rows, tilt=tilts(), blocks=blocks).withColumn("rate", r).withColumn("h", F.xxhash64("ident"))
+    rated = _with(rows, tilt=tilt, blocks=blocks).withColumn("rate", _rate(most)).withColumn("h", F.xxhash64("ident"))
     rated = rated.withColumn("salt", F.pmod(F.xxhash64(F.lit(11), "h"), F.col("blocks"))).select("ident", "source", "size", "rate", "h", "salt")
     ident_type = rows.schema["ident"].dataType.simpleString()
     done = rated.groupBy("source", "salt").applyInPandas(_round(most), f"ident {ident_type}, source string, size long, copies int")

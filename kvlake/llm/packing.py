@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,26 +73,27 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per piece of each document: id (of that name), piece, start, length, ids_crc32."""
+    """One row per piece of each document: id, piece, start, length, ids_crc32, copy."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ENCODERS:
             _ENCODERS[tokenizer] = Encoder(tokenizer, added=True)
-        encode = _ENCODERS[tokenizer]
+        encode, copy = _ENCODERS[tokenizer], TaskContext.get().partitionId() << 33
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             for i, text in enumerate(batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 n = len(ids)
                 bounds = [0, *range((n - 1) % length + 1, n + 1, length)]
                 for k in range(len(bounds) - 1):
                     a, b = bounds[k], bounds[k + 1]
-                    for to, v in zip(rows, (i, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
+                    for to, v in zip(rows, (i, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), copy + i)):
                         to.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
+            copy += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["id", "piece", "start", "length", "ids_crc32", "copy"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(named(id_col).alias("id"), named(text_col).alias("text")).mapInArrow(cut, f"id {kind}, piece int, start long, length long, ids_crc32 long, copy long")
 
 
 def best_two_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,22 +160,23 @@ def best_two_fit(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_pieces: int = 100_000) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, copy.
 
-    A null text is empty: it has the end id alone. Rows that repeat are packed each by itself. Sequences
+    A null text is empty: it has the end id alone. Rows that repeat are packed each by itself: copy
+    is a number that all pieces of one row share and no other row has. Sequences
     are numbered by block, with gaps between blocks. An empty table gives no sequence."""
     scratch = Scratch(docs.sparkSession, "pack")
     cut = scratch.save(pieces(docs, tokenizer, length, end_id, id_col, text_col), "pieces")
     n = cut.count()
     blocks = max(1, -(-n // block_pieces))
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    names = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "copy"]
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        table = table.sort_by([("id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("copy", "ascending")])
         bins, offsets = best_two_fit(table.column("length").to_numpy(), length)
         first = key[0].as_py() << 40
-        return pa.table([*(table.column(c) for c in names[:5]), pa.array(bins + first), pa.array(offsets)], names=names)
+        return pa.table([*(table.column(c) for c in names[:5]), pa.array(bins + first), pa.array(offsets), table.column("copy")], names=names)
 
     dealt = cut.withColumn("block", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(block, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").withColumnRenamed("id", id_col)
+    return dealt.groupBy("block").applyInArrow(block, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, copy long").withColumnRenamed("id", id_col)

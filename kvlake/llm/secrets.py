@@ -2,8 +2,8 @@
 
 A candidate is an unbroken run of 16 key characters or more with a sensitive word within 48 characters before
 or after it. Its novelty is the number of bytes it adds to the compressed form of the text around it, with two
-dictionaries loaded: a fixed one of common identifiers, and the 8,192 most frequent words of the whole corpus,
-counted over every document; case is levelled. Names, paths and repeated values cost little, random keys nearly a byte a character.
+dictionaries loaded: a fixed one of common identifiers, and up to 8,192 of the most frequent words of the whole
+corpus, counted over every document; case is levelled. Names, paths and repeated values cost little, random keys nearly a byte a character.
 Candidates that cost ``least`` bytes a character or more are reported; nothing but the compressor decides.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import named
+from .common import Scratch, frequent, named
 
 # The base patterns and the lengths that count.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -46,8 +46,8 @@ PART = re.compile(r"(?<![A-Za-z])[A-Za-z][a-z]{3,14}(?![a-z])|(?<=[a-z])[A-Z][a-
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 8192, held: int = 1 << 18) -> list[str]:
-    """The ``most`` words, lower-cased, that occur most often in all documents, the rarest first; of equally frequent ones those
-    first by code point are taken. The driver gets no more rows than that; a worker holds ``held`` words at most."""
+    """The words, lower-cased, that occur more often than some number in all documents, ``most`` at most, the rarest first.
+    A worker holds about ``held`` words at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
@@ -63,7 +63,8 @@ def corpus_words(docs: DataFrame, text_col: str = "text", most: int = 8192, held
         return pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
 
     counts = docs.select(named(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()][::-1]
+    got = frequent(Scratch(docs.sparkSession, "secrets").save(counts, "words"), most).toPandas()
+    return got.sort_values(["n", "word"])["word"].tolist()
 
 
 class Novelty:

@@ -5,7 +5,8 @@ splitters that cut the order into ranges of about equal bytes; a range that turn
 sampled anew, more densely, and subdivided. The ranges' exact counts (a bounded number of rows) give
 each range its place in the whole order, and a window inside each range gives each record its exact
 place, so shards are cut at exact quantiles of the bytes and no window ever spans more than a range.
-Equal texts are neighbours in the order; only a shard boundary can part them.
+Equal texts are neighbours in the order. A group of them that is no larger than the largest record goes whole to
+the shard that its first byte falls in; only larger groups are parted, each boundary parting one at most.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from .common import Scratch, named
 
 
 def _range_of(splitters: list[tuple], key: Column, ident: Column) -> Column:
-    """The number of splitters at or before (key, ident), by a balanced tree of comparisons."""
+    """The number of splitters at or before (key, ident), by a balanced tree of comparisons. A splitter without an ident
+    comes before all of its key."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -32,9 +34,9 @@ def _range_of(splitters: list[tuple], key: Column, ident: Column) -> Column:
     return tree(0, len(splitters))
 
 
-def _draw(rows: DataFrame, total: int, ranges: int, per_range: int, salt: int) -> list[tuple]:
+def _draw(rows: DataFrame, total: int, ranges: int, per_range: int, salt: int, within: bool) -> list[tuple]:
     """At most about ranges * per_range rows are sampled, with a chance in proportion to their size;
-    the sample's quantiles by weight are the splitters."""
+    the sample's quantiles by weight are the splitters. Only ``within`` do they part rows of one key."""
     want = ranges * per_range
     chance = F.least(F.lit(1.0), F.col("size") * (want / max(total, 1)))
     u = F.shiftrightunsigned(F.xxhash64("key", "ident", F.lit(salt)), 11) / float(2**53)
@@ -43,14 +45,19 @@ def _draw(rows: DataFrame, total: int, ranges: int, per_range: int, salt: int) -
     step = F.lit(max(total, 1) / ranges)
     cut = sample.withColumn("c", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     cut = cut.where(F.floor(F.col("c") / step) > F.floor((F.col("c") - F.col("w")) / step))
-    return [(r["key"], r["ident"]) for r in cut.select("key", "ident").collect()]
+    drawn = cut.select("key", F.col("ident") if within else F.lit(None).alias("ident")).distinct().collect()
+    return _sorted({(r["key"], r["ident"]) for r in drawn})
+
+
+def _sorted(splitters: set[tuple]) -> list[tuple]:
+    return sorted(splitters, key=lambda x: (x[0], x[1] is not None, x[1] if x[1] is not None else 0))
 
 
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 256 << 20, per_range: int = 32, max_ranges: int = 1024) -> DataFrame:
     """One row per input row: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null).
 
     Size: UTF-8 bytes of the text (null: none) plus 1. Shards hold near equal sizes: a shard's bytes
-    differ from the mean by one record's at most. slot is the record's place in its shard, from 0
+    differ from the mean by two records' at most. slot is the record's place in its shard, from 0
     without gaps. Records with equal text and id are interchangeable; null ids come first among equal
     texts. The driver sees at most 4 * max_ranges splitters and counts. An empty table gives none."""
     scratch = Scratch(docs.sparkSession, "shard")
@@ -62,9 +69,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         F.xxhash64(text).alias("key"),
     )
     rows = scratch.save(rows, "rows")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, largest = (x or 0 for x in rows.agg(F.sum("size"), F.max("size")).first())
     ranges = int(min(max_ranges, max(8 * shards, -(-total // range_bytes))))
-    splitters = _draw(rows, total, ranges, per_range, 0)
+    splitters = _draw(rows, total, ranges, per_range, 0, False)
     ideal = total / ranges
     for again in range(1, 5):
         rid = _range_of(splitters, F.col("key"), F.col("ident"))
@@ -74,11 +81,11 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
             break
         heavy = rows.where(rid.isin(*over))
         size = sum(r["b"] for r in over.values())
-        more = _draw(heavy, size, max(2, round(2 * size / max(ideal, 1))), 2 * per_range, again)
+        more = _draw(heavy, size, max(2, round(2 * size / max(ideal, 1))), 2 * per_range, again, True)
         known = set(splitters)
         if not (new := [x for x in more if x not in known]):
             break
-        splitters = sorted({*splitters, *new}, key=lambda x: (x[0], x[1] is not None, x[1] if x[1] is not None else 0))
+        splitters = _sorted({*splitters, *new})
     bytes_before, rows_before, b, n = [], [], 0, 0
     for k in range(len(splitters) + 1):
         bytes_before.append(b)
@@ -88,15 +95,20 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     def at(values: list[int], index: Column) -> Column:
         return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), index + 1)
 
-    inside = Window.partitionBy("rid").orderBy("key", F.col("ident").asc_nulls_first())
+    inside, group = Window.partitionBy("rid").orderBy("key", F.col("ident").asc_nulls_first()), Window.partitionBy("rid", "key")
+    parted = F.col("key").isin([k for k, i in splitters if i is not None])  # a range may end within their groups
     placed = rows.withColumn("rid", _range_of(splitters, F.col("key"), F.col("ident"))).select(
         "ident",
         "size",
         "text_crc32",
+        "rid",
+        "key",
         (at(bytes_before, F.col("rid")) + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("byte_place"),
         (at(rows_before, F.col("rid")) + F.row_number().over(inside) - 1).alias("place"),
     )
-    placed = placed.withColumn("shard", F.expr(f"cast(least({shards - 1}, byte_place * {shards} div {max(total, 1)}) as int)"))
+    whole = (F.sum("size").over(group) <= largest) & ~parted
+    placed = placed.withColumn("byte_place", F.when(whole, F.min("byte_place").over(group)).otherwise(F.col("byte_place")))
+    placed = placed.select("ident", "size", "text_crc32", "place", F.expr(f"cast(least({shards - 1}, byte_place * {shards} div {max(total, 1)}) as int)").alias("shard"))
     placed = scratch.save(placed, "placed")
     first = {r["shard"]: r["p"] for r in placed.groupBy("shard").agg(F.min("place").alias("p")).collect()}
     return placed.select(

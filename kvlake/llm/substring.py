@@ -1,28 +1,42 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-Documents come in batches, in the order of their ids. Every batch writes one immutable run of
-fingerprints, sorted by hash: of the hashes of all ``gram``-word windows those that are least among the
-neighbours that fit in one ``window`` (winnowing), so that equal windows always share one, at the same
-place. The run is merge-joined with the runs of earlier batches and with itself; where a fingerprint
-occurs twice, the whole windows around it are hashed (128 bits) and the earliest of equal ones is found,
-and every later one marks its words. When there are more than ``fan`` runs they are compacted into one.
-
-A hot fingerprint is never gathered in one task: counts and minima are taken by partial aggregates, and
-the joins back are sort-merge joins that adaptive execution splits.
+Documents come in batches, in the order of their ids. A batch's fingerprints are the hashes of those ``gram``-word
+windows that are least among the neighbours that fit in one ``window`` (winnowing), so that equal windows always
+share one, at the same place. They are an immutable run: dealt by the hash of the fingerprint into ``buckets`` files and
+sorted in each. A new run is merge-joined with itself and with each run of earlier batches, file by file: history is
+read in order and never shuffled. Where a fingerprint occurs twice, the whole windows around it are read again from the
+texts (which lie in buckets by id, so they aren't shuffled either) and compared by 128 bits, two hashes made with seeds of
+their own over the words' 64-bit hashes; the earliest of equal ones is found, and every later one marks its words. A
+fingerprint whose windows all start earlier elsewhere is left out of the run: history holds each passage once. When there
+are more than ``fan`` runs they are compacted into one.
+
+The index is a folder with a manifest of versions: it outlives the query, and opened again it takes the next batch. What
+a batch that failed has left is not in the manifest.
+
+No fingerprint or window is gathered in one task however common it is. Fingerprints with more than half a bucket's share
+of a run are found in a sample (what it misses costs balance, never results), are dealt out by id as well, and are joined by
+broadcast; there are 3 for each bucket at most. Of equal windows in one block of texts only the first goes on.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, named, split_join, text_slices, word_hashes
+from ..operators.manifest import Files
+from .common import CLEANUP, Scratch, mix, named, parts, settings, text_slices, word_hashes
+
+SALTS = 32
+#: Joins of tables that lie in buckets by some of their keys need no shuffle, and no sort where each bucket is one sorted file.
+IN_BUCKETS = ("spark.sql.sources.bucketing.enabled", "spark.sql.legacy.bucketedTableScan.outputOrdering")
 
 
 def _rolled(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -61,8 +75,7 @@ def _each(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]
             yield row + i, words[first[i] : first[i + 1]]
 
 
-def _kept(text: str, starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
-    words = text.encode().split()  # bytes.split parts at exactly the six white space bytes
+def _kept(words: list[bytes], starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
     n = len(words)
     if not starts:
         return n, 0, b" ".join(words)
@@ -75,106 +88,242 @@ def _kept(text: str, starts: list[int] | None, window: int) -> tuple[int, int, b
     return n, n - len(kept), b" ".join(kept)
 
 
-@dataclass
-class WindowIndex:
-    """The index: its runs, and the texts they came from (for verification)."""
-
-    scratch: Scratch
-    kind: str
-    window: int = 20
-    gram: int = 8
-    fan: int = 4
-    runs: list[DataFrame] = field(default_factory=list)
-    made: int = 0
-
-    def _fingerprints(self, docs: DataFrame) -> DataFrame:
-        window, gram = self.window, self.gram
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, places, hashes, held = [], [], [], 0
-                for row, words in _each(batch, "text"):
-                    if len(words) < window:
-                        continue
-                    grams = _rolled(words, gram, 1)
-                    at = np.unique(choices(grams, window - gram + 1))
-                    rows.append(np.full(len(at), row))
-                    places.append(at)
-                    hashes.append(grams[at])
-                    held += len(at)
-                    if held > 1 << 19:
-                        yield made(batch, rows, places, hashes)
-                        rows, places, hashes, held = [], [], [], 0
-                if rows:
+def fingerprints(docs: DataFrame, kind: str, window: int, gram: int) -> DataFrame:
+    """fp, id, pos: the chosen places of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, hashes, held = [], [], [], 0
+            for row, words in _each(batch, "text"):
+                if len(words) < window:
+                    continue
+                grams = _rolled(words, gram, 1)
+                at = np.unique(choices(grams, window - gram + 1))
+                rows.append(np.full(len(at), row))
+                places.append(at)
+                hashes.append(grams[at])
+                held += len(at)
+                if held > 1 << 19:
                     yield made(batch, rows, places, hashes)
+                    rows, places, hashes, held = [], [], [], 0
+            if rows:
+                yield made(batch, rows, places, hashes)
+
+    def made(batch, rows, places, hashes):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places).astype(np.int32))], names=["fp", "id", "pos"])
+
+    return docs.select("id", "text").mapInArrow(run, f"fp long, id {kind}, pos int")
+
+
+def windows(docs: DataFrame, window: int, gram: int, block: int = 1 << 18) -> DataFrame:
+    """docs: id, text, active (places of fingerprints). w1, w2, id, start of each window that has chosen one. ``later``: another
+    of the same words is earlier in the same block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            active, ids = batch.column(2), batch.column(0)
+            for row, words in _each(batch, "text"):
+                chosen = choices(_rolled(words, gram, 1), window - gram + 1)
+                if not len(chosen):
+                    continue
+                hot = np.zeros(len(words), bool)
+                hot[active[row].values.to_numpy()] = True
+                at = np.flatnonzero(hot[chosen])
+                held.append((_rolled(words, window, 100)[at], _rolled(words, window, 200)[at], np.full(len(at), ids[row].as_py(), np.int64), at))
+                size += len(at)
+                if size > block:
+                    yield made(held)
+                    held, size = [], 0
+        if held:
+            yield made(held)
+
+    def made(held: list) -> pa.RecordBatch:
+        w1, w2, ids, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, ids, w2, w1))
+        w1, w2, ids, at = w1[order], w2[order], ids[order], at[order]
+        new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))[: len(w1)]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (ids != ids[first]) | (at != at[first])  # rows that repeat an id are one
+        return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(later)], names=["w1", "w2", "id", "start", "later"])
+
+    return docs.mapInArrow(run, "w1 long, w2 long, id long, start int, later boolean")
+
+
+def finished(docs: DataFrame, kind: str, window: int, gram: int, with_text: bool) -> DataFrame:
+    """docs: id, text, starts (of windows that go). What is left of each text, and the fingerprints that stand only for
+    windows that go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gone, sha, texts, past = [], [], [], [], []
+            starts = batch.column(2)
+            for i, value in enumerate(batch.column(1)):
+                data, marked = (value.as_py() or "").encode(), starts[i].as_py()
+                got = _kept(data.split(), marked, window)  # bytes.split parts at exactly the six white space bytes
+                n.append(got[0])
+                gone.append(got[1])
+                sha.append(hashlib.sha256(got[2]).hexdigest())
+                past.append(superseded(data, marked) if marked else [])
+                if with_text:
+                    texts.append(got[2].decode())
+            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(past, pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())])))], names=[*names, "past"])
+
+    def superseded(data: bytes, marked: list[int]) -> list[dict]:
+        grams = _rolled(word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], gram, 1)
+        chosen = choices(grams, window - gram + 1)
+        stays = np.ones(len(chosen), bool)
+        stays[marked] = False
+        at = np.setdiff1d(chosen, chosen[stays])
+        return [{"fp": f, "pos": p} for f, p in zip(grams[at].view(np.int64).tolist(), at.tolist())]
+
+    names = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    return docs.select("id", "text", "starts").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string, {'kept_text string, ' * with_text}past array<struct<fp:long,pos:int>>")
 
-        def made(batch, rows, places, hashes):
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(places).astype(np.int32))], names=["fp", "id", "pos"])
-
-        return docs.select("id", "text").mapInArrow(run, f"fp long, id {self.kind}, pos int")
-
-    def _windows(self, docs: DataFrame) -> DataFrame:
-        """docs: id, text, active (places of fingerprints). The hash of each window that has chosen one."""
-        window, gram = self.window, self.gram
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out, held = [], 0
-                active = batch.column(2)
-                for row, words in _each(batch, "text"):
-                    chosen = choices(_rolled(words, gram, 1), window - gram + 1)
-                    if not len(chosen):
-                        continue
-                    hot = np.zeros(len(words), bool)
-                    hot[active[row].values.to_numpy()] = True
-                    at = np.flatnonzero(hot[chosen])
-                    out.append((np.full(len(at), row), at, _rolled(words, window, 100)[at], _rolled(words, window, 200)[at]))
-                    held += len(at)
-                    if held > 1 << 18:
-                        yield made(batch, out)
-                        out, held = [], 0
-                if out:
-                    yield made(batch, out)
-
-        def made(batch, out):
-            rows, at, w1, w2 = (np.concatenate(x) for x in zip(*out))
-            return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), batch.column(0).take(pa.array(rows)), pa.array(at.astype(np.int32))], names=["w1", "w2", "id", "start"])
-
-        return docs.mapInArrow(run, f"w1 long, w2 long, id {self.kind}, start int")
-
-    def ingest(self, new: DataFrame, store: DataFrame) -> DataFrame:
-        """new: id, text of the batch; store: of the batch and of all before. Returns id, starts: the
-        batch's windows whose words also start earlier."""
-        k, s = self.made, self.scratch
-        self.made += 1
-        run = s.save(self._fingerprints(new).sortWithinPartitions("fp", "id", "pos"), f"run{k}")
-        entries = run.withColumn("fresh", F.lit(1))
-        for old in self.runs:
-            entries = entries.unionByName(old.withColumn("fresh", F.lit(0)))
-        twice = entries.groupBy("fp").agg(F.count("*").alias("n"), F.max("fresh").alias("f")).where("n > 1 and f = 1").select("fp")
-        active = split_join(entries, twice, "fp").groupBy("id").agg(F.collect_set("pos").alias("active"))
-        active = s.save(active, f"active{k}")
-        windows = s.save(self._windows(store.join(active, "id").select("id", "text", "active")), f"windows{k}")
-        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        first = s.save(first.select("w1", "w2", "first"), f"first{k}")
-        later = windows.join(first, ["w1", "w2"]).where((F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-        lowest = run.agg(F.min("id")).first()[0]  # ids of earlier batches are all below
-        later = later.where(F.col("id") >= F.lit(lowest)) if self.runs and lowest is not None else later
-        marks = s.save(later.groupBy("id").agg(F.sort_array(F.collect_list("start")).alias("starts")), f"marks{k}")
-        s.drop(f"active{k}", f"windows{k}", f"first{k}")
-        self.runs.append(run)
-        if len(self.runs) > self.fan:
+
+class WindowIndex:
+    """The index in a folder that driver and executors share. ``kind``: the type of the ids, a whole number. The other
+    parameters hold for the index's life; one that is there already keeps its own."""
+
+    def __init__(self, spark: SparkSession, base: str, kind: str = "bigint", window: int = 20, gram: int = 8, fan: int = 4, buckets: int | None = None):
+        self.spark, self.base, self.files, self.tag = spark, base, Files(spark, base), uuid.uuid4().hex[:12]
+        versions = [int(n.removeprefix("manifest.")) for n, _ in self.files.names(base) if n.startswith("manifest.") and not n.endswith(".tmp")]
+        self.version, self.compactions = max(versions, default=0), 0
+        if versions:
+            self.state = json.loads(self.files.read(f"{base}/manifest.{self.version}"))
+        else:
+            self.state = {"kind": kind, "window": window, "gram": gram, "fan": fan, "buckets": buckets or parts(spark), "made": 0, "last": None, "runs": [], "texts": []}
+        self.kind, self.window, self.gram = self.state["kind"], self.state["window"], self.state["gram"]
+        self.known: set[str] = set()
+
+    # --- tables in buckets
+
+    def _table(self, name: str, columns: str, by: str, sort: str) -> DataFrame:
+        """A table of the index, which the session's catalog learns of when it is first asked for."""
+        full = f"kvlake_{self.tag}_{name}"
+        if name not in self.known:
+            self.spark.sql(f"create table {full} ({columns}) using parquet clustered by ({by}) sorted by ({sort}) into {self.state['buckets']} buckets location '{self.base}/{name}'")
+            self.known.add(name)
+        return self.spark.table(full)
+
+    def _write(self, df: DataFrame, name: str, by: list[str], sort: list[str]) -> None:
+        """df: its partitions are the buckets already."""
+        with settings(self.spark, CLEANUP, *IN_BUCKETS, off=("spark.sql.requireAllClusterKeysForCoPartition",)):
+            df.write.bucketBy(self.state["buckets"], *by).sortBy(*sort).option("path", f"{self.base}/{name}").saveAsTable(f"kvlake_{self.tag}_{name}")
+        self.known.add(name)
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists kvlake_{self.tag}_{name}")
+            self.files.delete(f"{self.base}/{name}")
+            self.known.discard(name)
+
+    def close(self) -> None:
+        """Takes the tables out of the session's catalog; the folder stays."""
+        for name in list(self.known):
+            self.spark.sql(f"drop table if exists kvlake_{self.tag}_{name}")
+        self.known.clear()
+
+    def run(self, name: str) -> DataFrame:
+        return self._table(name, f"fp bigint, salt int, id {self.kind}, pos int", "fp, salt", "fp, salt")
+
+    def texts(self, name: str) -> DataFrame:
+        return self._table(name, f"id {self.kind}, text string", "id", "id")
+
+    def _dealt(self, df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(self.state["buckets"], *by)
+
+    # --- fingerprints that are too common for one bucket
+
+    def _common(self, entries: DataFrame) -> list[int]:
+        """Fingerprints with more than half a bucket's share, from a sample in which that share is 64 rows."""
+        n, buckets = entries.count(), self.state["buckets"]
+        share = max(n // (2 * buckets), 256)
+        rate = min(1.0, 64 / share)
+        drawn = entries.where(F.pmod(F.xxhash64("id", "pos"), F.lit(1 << 30)) < rate * (1 << 30))
+        return sorted(r["fp"] for r in drawn.groupBy("fp").count().where(F.col("count") > 0.75 * rate * share).select("fp").collect())
+
+    def _of(self, fps: list[int]) -> DataFrame:
+        return F.broadcast(self.spark.createDataFrame(pa.table({"fp": pa.array(fps, pa.int64())})))
+
+    def _salted(self, entries: DataFrame, common: list[int]) -> DataFrame:
+        if not common:
+            return entries.select("fp", F.lit(0).alias("salt"), "id", "pos")
+        marked = entries.join(self._of(common).withColumn("common", F.lit(True)), "fp", "left")
+        return marked.select("fp", F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), "id", "pos")
+
+    # --- batches
+
+    def ingest(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """docs: id, text; all ids are above those of earlier batches. Returns id, n_words, n_removed, kept_sha256 (and
+        kept_text) as a written table, and leaves the batch in the index."""
+        st, scratch = self.state, Scratch(self.spark, "ingest")
+        st["made"] += 1
+        k, last = st["made"], st["last"]
+        texts, fresh, run = f"texts{k}", f"fresh{k}", f"run{k}"
+        self._write(self._dealt(docs.select("id", "text"), "id"), texts, ["id"], ["id"])
+        lowest, highest = self.texts(texts).agg(F.min("id"), F.max("id")).first()
+        if last is not None and lowest is not None and lowest <= last:
+            raise ValueError("ids must be above those of earlier batches")
+        found = scratch.save(fingerprints(self.texts(texts), self.kind, self.window, self.gram), "found")
+        common = self._common(found)
+        self._write(self._dealt(self._salted(found, common), "fp", "salt"), fresh, ["fp", "salt"], ["fp", "salt"])
+        self._write(self._active(self.run(fresh), common), f"active{k}", ["id"], ["id"])
+        active = self._table(f"active{k}", f"id {self.kind}, active array<int>", "id", "id")
+        seen = reduce(DataFrame.unionByName, [windows(self.texts(t).join(active, "id").select("id", "text", "active"), self.window, self.gram) for t in [*st["texts"], texts]])
+        with settings(self.spark, *IN_BUCKETS):
+            seen = scratch.save(seen, "windows")
+        order = Window.partitionBy("w1", "w2").orderBy("id", "start")
+        later = seen.where("not later").withColumn("rank", F.rank().over(order)).where("rank > 1").select("id", "start").union(seen.where("later").select("id", "start"))
+        later = later if last is None else later.where(F.col("id") > F.lit(last))
+        marks = self._dealt(later.select(F.col("id").cast(self.kind).alias("id"), "start"), "id").groupBy("id").agg(F.collect_list("start").alias("starts"))
+        with settings(self.spark, *IN_BUCKETS):
+            done = scratch.save(finished(self.texts(texts).join(marks, "id", "left"), self.kind, self.window, self.gram, with_text), "done")
+        past = done.select("id", F.explode("past").alias("p")).select("p.fp", "id", "p.pos")
+        past = self._dealt(self._salted(past, common), "fp", "salt")
+        self._write(self.run(fresh).join(past, ["fp", "salt", "id", "pos"], "left_anti").select("fp", "salt", "id", "pos"), run, ["fp", "salt"], ["fp", "salt"])
+        st["runs"].append({"name": run, "common": common})
+        st["texts"].append(texts)
+        st["last"] = highest if highest is not None else last
+        if len(st["runs"]) > st["fan"]:
             self.compact()
-        return marks
+        else:
+            self._commit()
+        self._drop(fresh, f"active{k}")
+        scratch.drop("found", "windows")
+        return done.drop("past")
+
+    def _active(self, fresh: DataFrame, common: list[int]) -> DataFrame:
+        """id, active: the places of all fingerprints that the new run has and that occur twice, there or in history."""
+        keys, old = ["fp", "salt"], [(self.run(r["name"]), r["common"]) for r in self.state["runs"]]
+        twice = fresh.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+        hits = [fresh.join(twice, keys, "left_semi")]
+        for past, _ in old:
+            hits += [fresh.join(past.select(*keys), keys, "left_semi"), past.join(fresh.select(*keys), keys, "left_semi")]
+        every = sorted({*common, *(fp for _, fps in old for fp in fps)})
+        if every:  # salted in one run and perhaps not in another
+            now = [r["fp"] for r in fresh.join(self._of(every), "fp", "left_semi").select("fp").distinct().collect()]
+            hits += [t.join(self._of(now), "fp", "left_semi") for t in [fresh, *(past for past, _ in old)]]
+        places = reduce(DataFrame.union, [h.select("id", "pos") for h in hits])
+        return self._dealt(places, "id").groupBy("id").agg(F.collect_set("pos").alias("active"))
 
     def compact(self) -> None:
-        """Merges all runs into one, sorted through and through."""
-        merged = self.runs[0]
-        for r in self.runs[1:]:
-            merged = merged.unionByName(r)
-        self.made += 1
-        whole = self.scratch.save(merged.repartitionByRange("fp", "id").sortWithinPartitions("fp", "id", "pos"), f"compacted{self.made}")
-        self.runs = [whole]
+        """Merges all runs into one, sorted by file, and commits it. What goes is dropped after that."""
+        st = self.state
+        st["made"] += 1
+        self.compactions += 1
+        name, old = f"run{st['made']}", [r["name"] for r in st["runs"]]
+        common = sorted({fp for r in st["runs"] for fp in r["common"]})
+        rows = reduce(DataFrame.unionByName, [self.run(r).select("fp", "id", "pos") for r in old])
+        self._write(self._dealt(self._salted(rows, common), "fp", "salt"), name, ["fp", "salt"], ["fp", "salt"])
+        st["runs"] = [{"name": name, "common": common}]
+        self._commit()
+        self._drop(*old)
+
+    def _commit(self) -> None:
+        self.files.commit(f"{self.base}/manifest.{self.version + 1}", json.dumps(self.state))
+        self.version += 1
 
 
 def _splits(docs: DataFrame, id_col: str, batches: int) -> list:
@@ -184,42 +333,27 @@ def _splits(docs: DataFrame, id_col: str, batches: int) -> list:
     return sorted({x for x in got or [] if x is not None})
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, batches: int = 2, fan: int = 4, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, batches: int = 4, fan: int = 2, with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 (and kept_text).
 
     A window is ``window`` consecutive words, unchanged, of one text; every word in a window whose words
     also start earlier (smaller id, or same text, earlier start) is removed, judged on the input. Kept
-    words are joined by one space. Null and empty texts have no words. Ids must be numbers and differ: of
+    words are joined by one space. Null and empty texts have no words. Ids must be whole numbers and differ: of
     rows that repeat an id, each is judged against smaller ids and against itself, as one text would be.
-    A row without an id keeps its words, and none go on its account. Other columns are not read."""
+    A row without an id keeps its words, and none go on its account. Other columns are not read. An empty table
+    gives no row. The batches go through an index of their own, which is compacted once it holds more than ``fan`` runs."""
     spark = docs.sparkSession
     s = Scratch(spark, "substring")
     plain = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
-    index = WindowIndex(s, plain.schema["id"].dataType.simpleString(), window, gram, fan)
+    index = WindowIndex(spark, f"{s.base}/index", plain.schema["id"].dataType.simpleString(), window, gram, fan)
     cuts = [None, *_splits(docs, id_col, batches), None]
-    names, out_schema = ["id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if with_text else 4], f"id {index.kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-
-    def finish(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            n, gone, sha, texts = [], [], [], []
-            starts = batch.column(2)
-            for i, value in enumerate(batch.column(1)):
-                got = _kept(value.as_py() or "", starts[i].as_py(), window)
-                n.append(got[0])
-                gone.append(got[1])
-                sha.append(hashlib.sha256(got[2]).hexdigest())
-                if with_text:
-                    texts.append(got[2].decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])], names=names)
-
-    done = [s.save(plain.where("id is null").select("id", "text", F.lit(None).cast("array<int>").alias("starts")).mapInArrow(finish, out_schema), "unnamed")]
-    for k in range(len(cuts) - 1):
-        lo, hi = cuts[k], cuts[k + 1]
-        store = plain.where("id is not null") if hi is None else plain.where(F.col("id") <= F.lit(hi))
-        new = store if lo is None else store.where(F.col("id") > F.lit(lo))
-        marks = index.ingest(new, store)
-        done.append(s.save(new.join(marks, "id", "left").select("id", "text", "starts").mapInArrow(finish, out_schema), f"done{k}"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.withColumnRenamed("id", id_col)
+    unnamed = plain.where("id is null").select("id", "text", F.lit(None).cast("array<int>").alias("starts"))
+    done = [s.save(finished(unnamed, index.kind, window, gram, with_text).drop("past"), "unnamed")]
+    try:
+        for lo, hi in zip(cuts, cuts[1:]):
+            new = plain.where("id is not null") if lo is None else plain.where(F.col("id") > F.lit(lo))
+            done.append(index.ingest(new if hi is None else new.where(F.col("id") <= F.lit(hi)), with_text))
+    finally:
+        index.close()
+        s.drop("index")
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("id", id_col)

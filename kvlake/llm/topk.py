@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, named, parts
 
 
-def codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int, segments: int) -> DataFrame:
-    """id and segs: the segments' values, a bit for each of the first ``bits`` places that is over 0.
+def codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int, width: int, segments: int) -> DataFrame:
+    """id and segs: the segments' values, ``width`` bits each: one for each of the first ``bits`` places that is over 0.
     Rows without a vector are left out; places a vector lacks, nulls and NaN count as 0."""
-    width = bits // segments
 
     def segment(s: int) -> F.Column:
         value = F.lit(0).cast("long")
-        for j in range(width):
+        for j in range(min(width, bits - s * width)):
             x = F.get(named(vector_col), F.lit(s * width + j))
             value = value + F.when((x > 0) & ~F.isnan(x), F.lit(1 << j)).otherwise(F.lit(0))
         return value
@@ -81,29 +80,29 @@ class MultiIndex:
         return found, dist
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, segments: int | None = None, entry_block: int | None = None, query_block: int = 1 << 14) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int | None = None, segments: int | None = None, entry_block: int | None = None, query_block: int = 1 << 14) -> DataFrame:
     """For each query its k nearest rows: query_id, rank (from 1), id, distance (bits that differ).
 
     Ties go to the smaller id; a query that is itself a row finds itself. Fewer rows than k give fewer
     results. Rows and queries without a vector or an id are left out; repeated ids count once per code.
-    Queries with equal codes are searched for once. bits must be a multiple of segments; without segments
-    their width is the divisor of bits, up to 16, next to the logarithm of the number of rows, at which a
-    segment's value finds about one row by chance."""
-    if segments is None:
-        n = math.log2(max(2, vectors.count()))
-        segments = min((bits // w for w in range(1, min(bits, 16) + 1) if bits % w == 0), key=lambda m: abs(bits // m - n))
-    if bits % segments:
-        raise ValueError("bits must be a multiple of segments")
-    width, spark = bits // segments, vectors.sparkSession
+    Queries with equal codes are searched for once. bits: the places that count, without it all that any vector
+    has. Segments are bits / segments wide, 16 at most; without segments their width is next to the logarithm of the number
+    of rows, at which a segment's value finds about one row by chance. Other columns are not read."""
+    if bits is None:
+        bits = max([1, *(f.agg(F.max(F.size(named(vector_col)))).first()[0] or 0 for f in (vectors, queries))])
+    width = min(16, max(1, round(math.log2(max(2, vectors.count()))))) if segments is None else -(-bits // segments)
+    if width > 16:
+        raise ValueError("segments are 16 bits wide at most")
+    segments, spark = segments or -(-bits // width), vectors.sparkSession
     s = Scratch(spark, "topk")
-    rows = s.save(codes(vectors, id_col, vector_col, bits, segments).distinct(), "rows")
+    rows = s.save(codes(vectors, id_col, vector_col, bits, width, segments).distinct(), "rows")
     # the k smallest ids of each code: first per salt, so that a code with a third of all rows is never in one task
     salted = Window.partitionBy("segs", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     few = rows.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k)
     whole = Window.partitionBy("segs").orderBy("id")
     few = few.select("segs", "id").withColumn("r", F.row_number().over(whole)).where(F.col("r") <= k)
     entries = s.save(few.groupBy("segs").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    asked = s.save(codes(queries, id_col, vector_col, bits, segments).distinct(), "asked")
+    asked = s.save(codes(queries, id_col, vector_col, bits, width, segments).distinct(), "asked")
     each = s.save(asked.select(F.col("segs").alias("q")).distinct(), "each")
     n, m = entries.count(), each.count()
     entry_block = entry_block or min(1 << 20, max(1 << 14, n // (4 * parts(spark))))

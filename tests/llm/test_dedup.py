@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.llm import near_dedup, queries, substring
 from kvlake.llm.common import word_hashes
@@ -52,6 +53,69 @@ def test_substring_within_and_across(spark):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substring(texts, 12)
 
 
+def test_substring_query(spark, monkeypatch):
+    """The query as registered, with its parameters: equal to brute force, and its index is compacted on the way."""
+    compact, times = substring.WindowIndex.compact, []
+    monkeypatch.setattr(substring.WindowIndex, "compact", lambda self: (times.append(len(self.state["runs"])), compact(self)))
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op1_substring(spark, sf).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_substring(texts) and len(got) == len(texts)
+    assert times == [3]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kvlake_")]
+
+
+def test_index_takes_batches_after_it_was_closed(spark, documents, tmp_path):
+    """Opened again, as by another session, it goes on where it was left; history is joined without a shuffle."""
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    docs, cut = documents.select(F.col("doc_id").alias("id"), "text").repartition(3), sorted(texts)[60]
+    got = {}
+    for part, fan in ((docs.where(F.col("id") < cut), 4), (docs.where((F.col("id") >= cut) & (F.col("id") < 2 * cut)), 9), (docs.where(F.col("id") >= 2 * cut), 9)):
+        index = substring.WindowIndex(spark, str(tmp_path / "index"), fan=fan, buckets=4)
+        assert index.state["fan"] == 4
+        got |= {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.ingest(part).collect()}
+        index.close()
+    assert got == brute_substring(texts)
+    index = substring.WindowIndex(spark, str(tmp_path / "index"))
+    a, b = (index.run(r["name"]) for r in index.state["runs"][:2])
+    with substring.settings(spark, *substring.IN_BUCKETS):
+        plan = a.hint("merge").join(b.select("fp", "salt"), ["fp", "salt"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    with pytest.raises(ValueError, match="above"):
+        index.ingest(docs)
+    before = sum(index.run(r["name"]).count() for r in index.state["runs"])
+    index.compact()
+    assert len(index.state["runs"]) == 1 and index.run(index.state["runs"][0]["name"]).count() == before
+    again = substring.WindowIndex(spark, str(tmp_path / "index"))
+    more = spark.createDataFrame([(10**9, texts[0] + " new words"), (10**9 + 1, "nothing of this was there")], "id long, text string")
+    want = brute_substring(texts | {10**9: texts[0] + " new words", 10**9 + 1: "nothing of this was there"})
+    assert {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in again.ingest(more).collect()} == {d: want[d] for d in (10**9, 10**9 + 1)}
+    index.close()
+    again.close()
+
+
+def test_history_holds_a_passage_once(spark, tmp_path):
+    """And fingerprints that are common in a run, in history or in both are dealt out and still found."""
+    r = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    tail = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(30))
+    texts = {i: f"{tail()} {passage} {tail()}" if i % 3 else tail() for i in range(1500)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(4)
+    index, got = substring.WindowIndex(spark, str(tmp_path / "index"), buckets=8), {}
+    for lo, hi in ((0, 700), (700, 710), (710, 1500)):
+        got |= {x.id: (x.n_words, x.n_removed, x.kept_sha256) for x in index.ingest(docs.where(F.col("id").between(lo, hi - 1))).collect()}
+    assert got == brute_substring(texts)
+    first, second, third = (index.run(x["name"]) for x in index.state["runs"])
+    assert index.state["runs"][0]["common"] and index.state["runs"][2]["common"] and not index.state["runs"][1]["common"]
+    assert first.where("salt > 0").count() > 0
+    inside = word_hashes(np.frombuffer(passage.encode(), np.uint8), np.array([0, len(passage)]))[0]
+    grams = substring._rolled(inside, 8, 1)
+    held = sorted({int(x) for x in grams[substring.choices(grams, 13)].view(np.int64)})[:3]
+    deep = {int(x) for x in grams[substring.choices(grams[13:-13], 13) + 13].view(np.int64)}
+    assert deep and held and first.where(F.col("fp").isin(*deep)).count() <= len(deep) and third.where(F.col("fp").isin(*deep)).count() == 0
+    index.close()
+
+
 def test_substring_odd(odd, none):
     got = {r.doc_id: r for r in substring.substring_dedup(odd.where("doc_id is null or doc_id <> 8"), with_text=True).collect()}
     texts = {r.doc_id: r.text for r in odd.collect() if r.doc_id not in (None, 8)}

@@ -1,8 +1,12 @@
+import os
 import random
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from kvlake.llm import langid, mixing, packing, queries
+from kvlake.sources.shared import shared_folder
 from tests.llm.test_dedup import brute_near
 from tests.llm.test_small_operators import low
 
@@ -54,7 +58,35 @@ def test_stages_against_brute_force(spark, tmp_path):
 
 def test_run(spark):
     df = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert df.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and df.count() > 0
+    assert df.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "copy"] and df.count() > 0
+    assert df.select("copy", "piece").distinct().count() == df.count()
+
+
+def test_run_leaves_nothing_behind(spark, monkeypatch):
+    """While it runs each stage finds only its predecessor's table; after an error there is none."""
+    root, seen = shared_folder(spark).removeprefix("file:"), []
+
+    def there():
+        return {x for x in os.listdir(root) if any(files for _, _, files in os.walk(f"{root}/{x}"))}
+
+    def watched(name, stage):
+        def run(spark, docs, sf):
+            seen.append(there() - before)
+            if name == "mixing":
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf)
+
+        return name, run
+
+    before = there()
+    df = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = there() - before
+    assert len(left) == 1 and df.count() > 0 and os.listdir(f"{root}/{min(left)}") == ["packed" if os.path.isdir(f"{root}/{min(left)}/packed") else "packing"]
+    before = there()
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [watched(*x) for x in corpus_pipeline.STAGES])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [len(x) for x in seen] == [0, 1, 1, 1] and there() == before
 
 
 def test_odd_tables(spark, odd, none):

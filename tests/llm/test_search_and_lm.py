@@ -25,6 +25,19 @@ def test_top_k(spark, segments):
     assert {(x.query_id, x["rank"]): (x.vec_id, x.distance) for x in got} == brute(vectors, range(0, 280, 20), 5) and len(got) == 14 * 5
 
 
+def test_top_k_of_all_places(spark):
+    """Vectors of more places than a code of 64 bits has, and of a number that no segment width divides."""
+    r = np.random.default_rng(5)
+    vectors = {i: r.normal(size=67 if i % 2 else 71).tolist() for i in range(60)}
+    padded = {i: v + [0.0] * (71 - len(v)) for i, v in vectors.items()}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<float>")
+    for bits in (None, 66):
+        got = topk.top_k(df, df, k=3, bits=bits).collect()
+        assert {(x.query_id, x["rank"]): (x.vec_id, x.distance) for x in got} == brute({i: v[:bits] for i, v in padded.items()}, vectors, 3)
+    with pytest.raises(ValueError):
+        topk.top_k(df, df, bits=64, segments=2)
+
+
 def test_top_k_odd(spark):
     rows = [(1, [1.0, None, 1.0, -1.0]), (2, None), (3, []), (4, [1.0]), (None, [1.0] * 4), (5, [float("nan"), -1.0, 1.0, 1.0, 9.0]), (5, [float("nan"), -1.0, 1.0, 1.0, 9.0])]
     df = spark.createDataFrame([(*r, 3, 4) for r in rows], "vec_id long, embedding array<float>, segs int, q int")
@@ -54,12 +67,13 @@ def test_slopes():
     weights, bias, near, target = r.normal(size=(12, 5)), r.normal(size=5), np.stack([r.integers(0, 6, 40), r.integers(6, 12, 40)]), r.integers(0, 5, 40)
     gains = np.array([0.9, 0.5, 0.7])
     net = lambda g: lm.Network(weights * np.repeat(g[1:], 6)[:, None], bias * g[0])
-    value = lambda g: net(g).forward(near)[np.arange(40), target].sum(dtype=float)
-    got = lm.Network(weights, bias).slopes(near, target, net(gains).forward(near))
+    value = lambda g: np.log(net(g).probabilities(near)[np.arange(40), target]).sum(dtype=float)
+    plain = lm.Network(weights, bias)
+    got = plain.slopes(near, target, gains)
     e = np.eye(3) * 1e-2
     assert np.allclose(got[:, 0], [(value(gains + x) - value(gains - x)) / 2e-2 for x in e], atol=2e-2)
     for i, x in enumerate(e):
-        change = lm.Network(weights, bias).slopes(near, target, net(gains + x).forward(near))[:, 0] - lm.Network(weights, bias).slopes(near, target, net(gains - x).forward(near))[:, 0]
+        change = plain.slopes(near, target, gains + x)[:, 0] - plain.slopes(near, target, gains - x)[:, 0]
         assert np.allclose(-change / 2e-2, got[:, 1 + i], atol=5e-2)
 
 
@@ -158,8 +172,7 @@ def test_probabilities_of_all_words_sum_to_one(documents):
     klass = model.klass[model.rows(words, model.ranks(words))]
     within = np.bincount(klass, weights=np.array(list(n.values())) + 0.1, minlength=12) + 0.1
     assert np.allclose(np.log(within), model.total)
-    z = lm.Network(model.weights, model.bias).forward(np.array([[3], [45], [90], [159]]))
-    assert np.exp(z).sum() == pytest.approx(1, abs=1e-5)
+    assert lm.Network(model.weights, model.bias).probabilities(np.array([[3], [45], [90], [159]])).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_learns_whatever_the_partitions(spark):

@@ -79,7 +79,8 @@ def shards_hold(rows, shards):
     for own in by.values():
         assert sorted(r.slot for r in own) == list(range(len(own)))
     sizes = [sum(r["size"] for r in by[s]) for s in range(shards)]
-    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
+    largest = max(r["size"] for r in rows)
+    assert max(sizes) - min(sizes) <= 4 * largest and all(abs(x - sum(sizes) / shards) <= 2 * largest for x in sizes)
 
 
 def test_shard(documents):
@@ -94,6 +95,33 @@ def test_shard(documents):
     assert again == {r.doc_id: (r.shard, r.slot) for r in got}, "the sample decides the plan, not the result"
 
 
+def brute_shards(rows, shards):
+    """rows: id, size, key. Shard and slot of each, from one sorted list."""
+    rows = sorted(rows, key=lambda r: (r[2], r[0] is not None, r[0] or 0))
+    total, largest, at, out, count = sum(r[1] for r in rows), max(r[1] for r in rows), 0, {}, Counter()
+    group = Counter()
+    for _, size, key in rows:
+        group[key] += size
+    first = {}
+    for i, size, key in rows:
+        first.setdefault(key, at)
+        s = min(shards - 1, (first[key] if group[key] <= largest else at) * shards // total)
+        out[i] = (s, count[s])
+        count[s] += 1
+        at += size
+    return out
+
+
+def test_shard_against_brute_force(spark):
+    """Small groups of copies stay whole; what is cut follows the bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).collect()
+    want = brute_shards([tuple(r) for r in rows], 8)
+    for options in ({}, {"range_bytes": 5_000, "per_range": 8}):
+        assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs.repartition(5), 8, **options).collect()} == want
+    assert {r.doc_id: (r.shard, r.slot) for r in queries.op4_sharding(spark, "/root/testdata/sf0.01").collect()} == want
+
+
 def test_shard_hot_group(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) as text")
     shards_hold(sharding.shard(docs, 8).collect(), 8)
@@ -212,6 +240,43 @@ def test_mix(spark):
     assert again == {r.doc_id: r.taken for r in got}
 
 
+def test_tilts_against_bisection(spark):
+    """The distributed Newton iterations end where a bisection over all documents ends."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.source, len(WORD.findall(r.text or ""))) for r in docs.collect()]
+    sizes, n = Counter(), Counter()
+    for s, k in rows:
+        sizes[s] += k
+        n[s] += 1
+    goal = mixing.targets(sizes)
+    counts = spark.createDataFrame([(s, k, c) for (s, k), c in Counter(rows).items()], "source string, size long, n long")
+    got = mixing.solve(counts, sizes, n, goal, 2.0)
+    assert got == mixing.solve(counts.repartition(7), sizes, n, goal, 2.0), "exact sums"
+    for s in sizes:
+        own = np.array([k for x, k in rows if x == s], float)
+        if goal[s] >= 2 * sizes[s] * (1 - 1e-9):
+            assert got[s] is None
+            continue
+        low, high = -1.0, 1.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            with np.errstate(over="ignore"):
+                low, high = (low, mid) if (own * 2 / (1 + np.exp(-mid * own))).sum() > goal[s] else (mid, high)
+        rate = lambda t: 2 / (1 + np.exp(-t * own))
+        assert (own * rate(got[s])).sum() == pytest.approx(goal[s], rel=1e-5) and np.allclose(rate(got[s]), rate(mid), atol=1e-3)
+
+
+def test_mix_query(spark, sf, documents):
+    got = {r.doc_id: r for r in queries.op6_mixing(spark, sf).collect()}
+    taken, goal = Counter(), {}
+    of = {r.doc_id: (r.source, len(WORD.findall(r.text or ""))) for r in documents.collect()}
+    for d, (s, k) in of.items():
+        assert got[d]["size"] == k and got[d].taken in (0, k, 2 * k)
+        taken[s] += got[d].taken
+        goal[s] = got[d].target
+    assert set(got) == set(of) and all(abs(taken[s] - goal[s]) <= max(0.02 * goal[s], 60) for s in goal)
+
+
 def test_mix_odd(odd, none):
     got = mixing.mix(odd, block_rows=3).collect()
     assert len(got) == 16
@@ -270,6 +335,27 @@ def test_encoder_is_exact(spark):
         assert enc(t) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def slow_two_fit(left, room):
+    """The bins by trying every piece and every pair."""
+    left, out = sorted(left), []
+    while left:
+        own, gap = [], room
+        while fits := [v for v in left if v <= gap]:
+            own.append(max(fits))
+            left.remove(max(fits))
+            gap -= max(fits)
+        if gap and len(own) > 1:
+            pairs = [(left[i] + left[j], max(left[i], left[j])) for i in range(len(left)) for j in range(i) if own[-1] < left[i] + left[j] <= own[-1] + gap]
+            if pairs:
+                total, large = max(pairs)
+                left.remove(large)
+                left.remove(total - large)
+                left = sorted([*left, own[-1]])
+                own[-1:] = [large, total - large]
+        out.append(sorted(own))
+    return out
+
+
 def test_best_two_fit():
     r = np.random.default_rng(1)
     for room in (10, 50, 2048):
@@ -280,6 +366,11 @@ def test_best_two_fit():
         for b in range(len(fill)):
             own = sorted(zip(offsets[bins == b], lengths[bins == b]))
             assert [o for o, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+    for _ in range(150):
+        room = int(r.integers(4, 30))
+        lengths = r.integers(1, room + 1, r.integers(1, 14))
+        bins, _ = packing.best_two_fit(lengths, room)
+        assert sorted(sorted(lengths[bins == b].tolist()) for b in set(bins.tolist())) == sorted(slow_two_fit(lengths.tolist(), room))
     # 6 and 3 leave a gap of 1; 2 + 2 fit better than 3
     bins, _ = packing.best_two_fit(np.array([6, 3, 2, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 0]
@@ -293,7 +384,11 @@ def test_pack_odd(odd, none):
     got = packing.pack(odd.where("doc_id is null or doc_id <> 8"), queries.tokenizer_path(), block_pieces=50).collect()
     texts = {r.doc_id: r.text for r in odd.collect()}
     packs_hold(got, texts, 2048, lambda t: tok.encode(t, add_special_tokens=False).ids)
-    assert packing.pack(odd, queries.tokenizer_path()).where("doc_id = 8").count() == 2
+    twice = packing.pack(odd, queries.tokenizer_path()).where("doc_id = 8").collect()
+    assert len(twice) == 2 and twice[0].copy != twice[1].copy
+    for own in Counter((r.copy, r.doc_id) for r in got), Counter((r.copy, r.piece) for r in got):
+        assert len({c for c, _ in own}) == len({r.doc_id for r in got}) and (own.keys() & {(None, None)}) == set()
+    assert all(n == 1 for n in Counter((r.copy, r.piece) for r in got).values())
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
 
 
@@ -397,7 +492,7 @@ def test_secrets_recall_and_precision(spark):
 
 def test_corpus_words(spark, none, odd):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["alphaBeta alpha", "alpha gamma_delta XYZabcd", None, "abcdefghijklmnopqrst", "gamma"])], "doc_id long, text string").repartition(3)
-    assert secrets.corpus_words(docs, most=3) == ["beta", "gamma", "alpha"]
+    assert secrets.corpus_words(docs, most=3) == ["gamma", "alpha"] and secrets.corpus_words(docs, most=1) == ["alpha"]
     assert set(secrets.corpus_words(docs, held=1)) == {"alpha", "beta", "gamma", "delta"}
     assert secrets.corpus_words(none) == [] and secrets.find_secrets(odd.withColumnRenamed("doc_id", "a b.c"), id_col="a b.c", words=[]).columns[0] == "a b.c"
 
