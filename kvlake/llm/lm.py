@@ -14,7 +14,7 @@ but for the rounding of float sums:
 3. The network's first weights: for each place around a word and each input there, the log of how much more often
    each class stands beside it than elsewhere. The ``inputs - classes - 1`` most frequent words are inputs of their
    own, rarer ones enter by their class, and there is one for places beyond the document's ends.
-4. Training, each document in one of ``rounds`` rounds. The first is a Newton step on the gain of each place and of the
+4. Training, each document in one of ``rounds`` rounds. The first is a Newton step on the gain of each distance and of the
    bias, from exact gradients and Hessians. The others move every weight by the log ratio of observed to predicted
    counts (iterative scaling, which lowers the loss at each step).
 """
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ class Config:
     alone: int = 16  # classes of one word, the most frequent ones
     reach: int = 2
     rounds: int = 2
-    gain: float = 0.6  # of each place before training
+    gain: float = 0.6  # of each distance before training
     chunk: int = 8192
 
     @property
@@ -94,27 +95,50 @@ class Network:
         e /= total[:, None]
         return e
 
-    def slopes(self, near: np.ndarray, target: np.ndarray, gains: np.ndarray) -> np.ndarray:
-        """Gradient and Hessian of the log-likelihood by the gains of the bias and of each place: a row each, in one column
-        the gradient, in the others the Hessian."""
-        k, n, c = len(gains), len(target), len(self.bias)
-        f = np.empty((k, n, c), np.float32)
-        f[0] = self.bias
-        for i, row in enumerate(near):
-            np.take(self.weights, row, axis=0, out=f[i + 1])
-        p = (gains.astype(np.float32) @ f.reshape(k, -1)).reshape(n, c)
+    def slopes(self, near: np.ndarray, target: np.ndarray, gains: np.ndarray, places: list[int]) -> np.ndarray:
+        """Gradient and Hessian of the log-likelihood by the gains of the bias and of each distance: a row each, in one
+        column the gradient, in the others the Hessian."""
+        f = []
+        for d in range(1, len(gains)):
+            own = [self.weights[row] for row, place in zip(near, places) if abs(place) == d]
+            f.append(sum(own[1:], own[0]))
+        p = np.float32(gains[0]) * self.bias + sum(np.float32(g) * x for g, x in zip(gains[1:], f))
         p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         p /= p.sum(axis=1, keepdims=True)
-        there = f[:, np.arange(n), target].sum(axis=1, dtype=float)
-        f *= np.sqrt(p)
-        flat = f.reshape(k, -1)
-        second = (flat @ flat.T).astype(float)
-        f *= np.sqrt(p)
-        means = f.sum(axis=2).astype(float)
+        at = np.arange(len(target))
+        parts = [p * x for x in f]
+        means = np.stack([p @ self.bias, *(x.sum(axis=1) for x in parts)]).astype(float)
+        there = np.stack([self.bias[target], *(x[at, target] for x in f)]).sum(axis=1, dtype=float)
+        second = np.empty((len(gains), len(gains)))
+        second[0, 0] = p.sum(axis=0, dtype=float) @ self.bias.astype(float) ** 2
+        for i, x in enumerate(parts, 1):
+            second[0, i] = second[i, 0] = x.sum(axis=0, dtype=float) @ self.bias
+            for j, y in enumerate(f, 1):
+                second[i, j] = np.vdot(x, y)
         return np.column_stack([there - means.sum(axis=1), second - means @ means.T])
 
 
+def lookup(words: np.ndarray, bits: int = 20) -> np.ndarray:
+    """For sorted hashes: where those begin whose first bits are each number."""
+    return np.searchsorted(words, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+
+
+def find(words: np.ndarray, head: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The place in the sorted head of each word, or -1. The first bits lead to a word or two, which are compared."""
+    first = (words >> np.uint64(64 - int(len(begins)).bit_length() + 1)).astype(np.int64)
+    at, out = begins[first], np.full(len(words), -1, np.int32)
+    todo = np.flatnonzero(at < np.append(begins[1:], np.int32(len(head)))[first])
+    while len(todo):
+        hit = head[at[todo]] == words[todo]
+        out[todo[hit]] = at[todo[hit]]
+        todo = todo[~hit]
+        at[todo] += 1
+        todo = todo[at[todo] < len(head)]
+        todo = todo[head[at[todo]] <= words[todo]]
+    return out
+
+
 @dataclass
 class Model:
     config: Config
@@ -127,17 +151,16 @@ class Model:
     weights: np.ndarray | None = None  # input rows x classes
     bias: np.ndarray | None = None
 
+    @cached_property
+    def begins(self) -> np.ndarray:
+        return lookup(self.head)
+
     def ranks(self, words: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
         """Of every word its rank, -1 beyond the top. ``logs`` is filled with log counts; nan where they lack."""
-        if not len(self.head):
-            if logs is not None:
-                logs[:] = np.nan
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
-        known = self.head[at] == words
+        at = find(words, self.head, self.begins)
         if logs is not None:
-            logs[:] = np.where(known, self.logs[at], np.nan)
-        return np.where(known, self.rank[at], -1)
+            logs[:] = np.append(self.logs, np.nan)[at]
+        return np.append(self.rank, -1)[at]
 
     def rows(self, words: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Which entry of klass is each word's."""
@@ -317,7 +340,7 @@ def fit(docs: DataFrame, text_col: str = "text", config: Config | None = None) -
     sent.unpersist()
     model.bias = np.log(share)
     model.weights = np.log((met + PRIOR * share) / (met.sum(axis=1, keepdims=True) + PRIOR)) - model.bias
-    gains = np.array([1.0, *[c.gain] * len(c.places)])
+    gains = np.array([1.0, *[c.gain] * c.reach])
     if not c.rounds:
         return _with_gains(model, gains)
     for k in range(c.rounds):
@@ -327,7 +350,7 @@ def fit(docs: DataFrame, text_col: str = "text", config: Config | None = None) -
 
 
 def _with_gains(model: Model, gains: np.ndarray) -> Model:
-    return replace(model, bias=model.bias * gains[0], weights=model.weights * np.repeat(gains[1:], model.config.inputs)[:, None])
+    return replace(model, bias=model.bias * gains[0], weights=model.weights * np.repeat([gains[abs(d)] for d in model.config.places], model.config.inputs)[:, None])
 
 
 def _gains(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, gains: np.ndarray, shared: Callable) -> Model:
@@ -339,7 +362,7 @@ def _gains(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, gains
         net = Network(m.weights, m.bias)
         near, klass = m.seen(words, first)
         for a in range(0, len(words), c.chunk):
-            out += net.slopes(near[:, a : a + c.chunk], klass[a : a + c.chunk], gains)
+            out += net.slopes(near[:, a : a + c.chunk], klass[a : a + c.chunk], gains, c.places)
 
     got = summed(docs, text_col, scratch, "slopes", (len(gains), len(gains) + 1), slopes)
     sent.unpersist()

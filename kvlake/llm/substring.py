@@ -6,16 +6,16 @@ share one, at the same place. They are an immutable run: dealt by the hash of th
 sorted in each. A new run is merge-joined with itself and with each run of earlier batches, file by file: history is
 read in order and never shuffled. Where a fingerprint occurs twice, the whole windows around it are read again from the
 texts (which lie in buckets by id, so they aren't shuffled either) and compared by 128 bits, two hashes made with seeds of
-their own over the words' 64-bit hashes; the earliest of equal ones is found, and every later one marks its words. A
-fingerprint whose windows all start earlier elsewhere is left out of the run: history holds each passage once. When there
-are more than ``fan`` runs they are compacted into one.
+their own over the words' 64-bit hashes; the earliest of equal ones is found, and every later one marks its words. When
+there are more than ``fan`` runs they are compacted into one, without the fingerprints whose windows all start earlier
+elsewhere: compacted history holds each passage once.
 
 The index is a folder with a manifest of versions: it outlives the query, and opened again it takes the next batch. What
 a batch that failed has left is not in the manifest.
 
 No fingerprint or window is gathered in one task however common it is. Fingerprints with more than half a bucket's share
-of a run are found in a sample (what it misses costs balance, never results), are dealt out by id as well, and are joined by
-broadcast; there are 3 for each bucket at most. Of equal windows in one block of texts only the first goes on.
+of a run are found in a sample of texts (what it misses costs balance, never results), are dealt out by id as well, and are
+joined by broadcast; there are 3 for each bucket at most. Of equal windows in one block of texts only the first goes on.
 """
 
 from __future__ import annotations
@@ -75,12 +75,11 @@ def _each(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, np.ndarray]
             yield row + i, words[first[i] : first[i + 1]]
 
 
-def _kept(words: list[bytes], starts: list[int] | None, window: int) -> tuple[int, int, bytes]:
+def _kept(words: list[bytes], at: np.ndarray | None, window: int) -> tuple[int, int, bytes]:
     n = len(words)
-    if not starts:
+    if at is None:
         return n, 0, b" ".join(words)
     gone = np.zeros(n + 1, np.int64)
-    at = np.asarray(starts, np.int64)
     np.add.at(gone, at, 1)
     np.add.at(gone, np.minimum(at + window, n), -1)
     keep = np.cumsum(gone[:n]) == 0
@@ -116,8 +115,8 @@ def fingerprints(docs: DataFrame, kind: str, window: int, gram: int) -> DataFram
 
 
 def windows(docs: DataFrame, window: int, gram: int, block: int = 1 << 18) -> DataFrame:
-    """docs: id, text, active (places of fingerprints). w1, w2, id, start of each window that has chosen one. ``later``: another
-    of the same words is earlier in the same block."""
+    """docs: id, text, active (places of fingerprints). A row with w1, w2, id, start for each window that has chosen one and is
+    the first of its words in its block; the block's other windows are listed by id in ``later``, with a w1 of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -133,21 +132,32 @@ def windows(docs: DataFrame, window: int, gram: int, block: int = 1 << 18) -> Da
                 held.append((_rolled(words, window, 100)[at], _rolled(words, window, 200)[at], np.full(len(at), ids[row].as_py(), np.int64), at))
                 size += len(at)
                 if size > block:
-                    yield made(held)
+                    yield from made(held)
                     held, size = [], 0
         if held:
-            yield made(held)
+            yield from made(held)
 
-    def made(held: list) -> pa.RecordBatch:
+    def made(held: list) -> Iterator[pa.RecordBatch]:
         w1, w2, ids, at = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((at, ids, w2, w1))
         w1, w2, ids, at = w1[order], w2[order], ids[order], at[order]
         new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))[: len(w1)]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         later = (ids != ids[first]) | (at != at[first])  # rows that repeat an id are one
-        return pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(later)], names=["w1", "w2", "id", "start", "later"])
+        n = int(new.sum())
+        yield rows(w1[new].view(np.int64), pa.array(w2[new].view(np.int64)), ids[new], pa.array(at[new].astype(np.int32)), pa.nulls(n, pa.list_(pa.int32())))
+        ids, at = ids[later], at[later]
+        if len(ids):
+            order = np.argsort(ids, kind="stable")
+            ids, at = ids[order], at[order]
+            cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(ids)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            yield rows(mix(ids[cuts].view(np.uint64)).view(np.int64), pa.nulls(len(cuts), pa.int64()), ids[cuts], pa.nulls(len(cuts), pa.int32()), lists)
 
-    return docs.mapInArrow(run, "w1 long, w2 long, id long, start int, later boolean")
+    def rows(w1, w2, ids, start, later) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(w1), w2, pa.array(ids), start, later], names=["w1", "w2", "id", "start", "later"])
+
+    return docs.mapInArrow(run, "w1 long, w2 long, id long, start int, later array<int>")
 
 
 def finished(docs: DataFrame, kind: str, window: int, gram: int, with_text: bool) -> DataFrame:
@@ -156,29 +166,36 @@ def finished(docs: DataFrame, kind: str, window: int, gram: int, with_text: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, sha, texts, past = [], [], [], [], []
             starts = batch.column(2)
-            for i, value in enumerate(batch.column(1)):
-                data, marked = (value.as_py() or "").encode(), starts[i].as_py()
-                got = _kept(data.split(), marked, window)  # bytes.split parts at exactly the six white space bytes
-                n.append(got[0])
-                gone.append(got[1])
-                sha.append(hashlib.sha256(got[2]).hexdigest())
-                past.append(superseded(data, marked) if marked else [])
-                if with_text:
-                    texts.append(got[2].decode())
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), *([pa.array(texts, pa.string())] if with_text else [])]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(past, pa.list_(pa.struct([("fp", pa.int64()), ("pos", pa.int32())])))], names=[*names, "past"])
-
-    def superseded(data: bytes, marked: list[int]) -> list[dict]:
-        grams = _rolled(word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], gram, 1)
+            for row, end, data, at in text_slices(batch, "text"):
+                n, gone, sha, texts, sizes, past = [], [], [], [], [], [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                for i in range(row, end):
+                    own, marked = data[at[i - row] : at[i - row + 1]], starts[i].values.to_numpy() if starts[i].is_valid else None
+                    got = _kept(own.tobytes().split(), marked, window)  # bytes.split parts at exactly the six white space bytes
+                    n.append(got[0])
+                    gone.append(got[1])
+                    sha.append(hashlib.sha256(got[2]).hexdigest())
+                    sizes.append(0)
+                    if marked is not None:
+                        past.append(superseded(own, marked))
+                        sizes[-1] = len(past[-1][0])
+                    if with_text:
+                        texts.append(got[2].decode())
+                fps, places = (np.concatenate(x) for x in zip(*past))
+                pairs = pa.StructArray.from_arrays([pa.array(fps), pa.array(places.astype(np.int32))], names=["fp", "pos"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pairs)
+                columns = [batch.column(0).slice(row, end - row), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), *([pa.array(texts, pa.string())] if with_text else []), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def superseded(data: np.ndarray, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        grams = _rolled(word_hashes(data, np.array([0, len(data)]))[0], gram, 1)
         chosen = choices(grams, window - gram + 1)
         stays = np.ones(len(chosen), bool)
         stays[marked] = False
         at = np.setdiff1d(chosen, chosen[stays])
-        return [{"fp": f, "pos": p} for f, p in zip(grams[at].view(np.int64).tolist(), at.tolist())]
+        return grams[at].view(np.int64), at
 
-    names = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text]
+    names = ["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text, "past"]
     return docs.select("id", "text", "starts").mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept_sha256 string, {'kept_text string, ' * with_text}past array<struct<fp:long,pos:int>>")
 
 
@@ -189,7 +206,7 @@ class WindowIndex:
     def __init__(self, spark: SparkSession, base: str, kind: str = "bigint", window: int = 20, gram: int = 8, fan: int = 4, buckets: int | None = None):
         self.spark, self.base, self.files, self.tag = spark, base, Files(spark, base), uuid.uuid4().hex[:12]
         versions = [int(n.removeprefix("manifest.")) for n, _ in self.files.names(base) if n.startswith("manifest.") and not n.endswith(".tmp")]
-        self.version, self.compactions = max(versions, default=0), 0
+        self.version = max(versions, default=0)
         if versions:
             self.state = json.loads(self.files.read(f"{base}/manifest.{self.version}"))
         else:
@@ -236,22 +253,24 @@ class WindowIndex:
 
     # --- fingerprints that are too common for one bucket
 
-    def _common(self, entries: DataFrame) -> list[int]:
-        """Fingerprints with more than half a bucket's share, from a sample in which that share is 64 rows."""
-        n, buckets = entries.count(), self.state["buckets"]
-        share = max(n // (2 * buckets), 256)
-        rate = min(1.0, 64 / share)
-        drawn = entries.where(F.pmod(F.xxhash64("id", "pos"), F.lit(1 << 30)) < rate * (1 << 30))
-        return sorted(r["fp"] for r in drawn.groupBy("fp").count().where(F.col("count") > 0.75 * rate * share).select("fp").collect())
+    def _common(self, texts: DataFrame, n: int) -> list[int]:
+        """Fingerprints with more than half a bucket's share, from a sample of 16 texts for each bucket."""
+        buckets = self.state["buckets"]
+        rate = min(1.0, 16 * buckets / max(n, 1))
+        drawn = fingerprints(texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30)), self.kind, self.window, self.gram)
+        least = max(0.75 * drawn.count() / (2 * buckets), 256 * rate)
+        return sorted(r["fp"] for r in drawn.groupBy("fp").count().where(F.col("count") > least).select("fp").collect())
 
     def _of(self, fps: list[int]) -> DataFrame:
         return F.broadcast(self.spark.createDataFrame(pa.table({"fp": pa.array(fps, pa.int64())})))
 
     def _salted(self, entries: DataFrame, common: list[int]) -> DataFrame:
-        if not common:
-            return entries.select("fp", F.lit(0).alias("salt"), "id", "pos")
-        marked = entries.join(self._of(common).withColumn("common", F.lit(True)), "fp", "left")
-        return marked.select("fp", F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0).alias("salt"), "id", "pos")
+        """entries: fp, id, pos; dealt out into the buckets of a run."""
+        salt = F.lit(0)
+        if common:
+            entries = entries.join(self._of(common).withColumn("common", F.lit(True)), "fp", "left")
+            salt = F.when(F.col("common"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(salt)
+        return self._dealt(entries.select("fp", salt.alias("salt"), "id", "pos"), "fp", "salt")
 
     # --- batches
 
@@ -261,46 +280,40 @@ class WindowIndex:
         st, scratch = self.state, Scratch(self.spark, "ingest")
         st["made"] += 1
         k, last = st["made"], st["last"]
-        texts, fresh, run = f"texts{k}", f"fresh{k}", f"run{k}"
+        texts, run, past = f"texts{k}", f"run{k}", f"past{k}"
         self._write(self._dealt(docs.select("id", "text"), "id"), texts, ["id"], ["id"])
-        lowest, highest = self.texts(texts).agg(F.min("id"), F.max("id")).first()
+        lowest, highest, n = self.texts(texts).agg(F.min("id"), F.max("id"), F.count("*")).first()
         if last is not None and lowest is not None and lowest <= last:
             raise ValueError("ids must be above those of earlier batches")
-        found = scratch.save(fingerprints(self.texts(texts), self.kind, self.window, self.gram), "found")
-        common = self._common(found)
-        self._write(self._dealt(self._salted(found, common), "fp", "salt"), fresh, ["fp", "salt"], ["fp", "salt"])
-        self._write(self._active(self.run(fresh), common), f"active{k}", ["id"], ["id"])
-        active = self._table(f"active{k}", f"id {self.kind}, active array<int>", "id", "id")
-        seen = reduce(DataFrame.unionByName, [windows(self.texts(t).join(active, "id").select("id", "text", "active"), self.window, self.gram) for t in [*st["texts"], texts]])
-        with settings(self.spark, *IN_BUCKETS):
-            seen = scratch.save(seen, "windows")
-        order = Window.partitionBy("w1", "w2").orderBy("id", "start")
-        later = seen.where("not later").withColumn("rank", F.rank().over(order)).where("rank > 1").select("id", "start").union(seen.where("later").select("id", "start"))
-        later = later if last is None else later.where(F.col("id") > F.lit(last))
-        marks = self._dealt(later.select(F.col("id").cast(self.kind).alias("id"), "start"), "id").groupBy("id").agg(F.collect_list("start").alias("starts"))
+        common = self._common(self.texts(texts), n)
+        self._write(self._salted(fingerprints(self.texts(texts), self.kind, self.window, self.gram), common), run, ["fp", "salt"], ["fp", "salt"])
         with settings(self.spark, *IN_BUCKETS):
+            active = self._active(self.run(run), common)
+            seen = [windows(self.texts(t).join(active, "id").select("id", "text", "active"), self.window, self.gram) for t in [*st["texts"], texts]]
+            order = Window.partitionBy("w1", "w2").orderBy("id", "start")
+            later = reduce(DataFrame.unionByName, seen).withColumn("rank", F.rank().over(order)).where("later is not null or rank > 1")
+            later = later if last is None else later.where(F.col("id") > F.lit(last))
+            marks = later.select(F.col("id").cast(self.kind).alias("id"), F.coalesce("later", F.array("start")).alias("starts"))
+            marks = self._dealt(marks, "id").groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
             done = scratch.save(finished(self.texts(texts).join(marks, "id", "left"), self.kind, self.window, self.gram, with_text), "done")
-        past = done.select("id", F.explode("past").alias("p")).select("p.fp", "id", "p.pos")
-        past = self._dealt(self._salted(past, common), "fp", "salt")
-        self._write(self.run(fresh).join(past, ["fp", "salt", "id", "pos"], "left_anti").select("fp", "salt", "id", "pos"), run, ["fp", "salt"], ["fp", "salt"])
-        st["runs"].append({"name": run, "common": common})
+        few = done.select("id", F.explode("past").alias("p")).select("p.fp", "id", "p.pos").coalesce(-(-st["buckets"] // 16))
+        few.write.parquet(f"{self.base}/{past}")
+        st["runs"].append({"name": run, "common": common, "past": past})
         st["texts"].append(texts)
         st["last"] = highest if highest is not None else last
         if len(st["runs"]) > st["fan"]:
             self.compact()
         else:
             self._commit()
-        self._drop(fresh, f"active{k}")
-        scratch.drop("found", "windows")
         return done.drop("past")
 
     def _active(self, fresh: DataFrame, common: list[int]) -> DataFrame:
         """id, active: the places of all fingerprints that the new run has and that occur twice, there or in history."""
         keys, old = ["fp", "salt"], [(self.run(r["name"]), r["common"]) for r in self.state["runs"]]
         twice = fresh.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
-        hits = [fresh.join(twice, keys, "left_semi")]
+        hits = [fresh.join(twice.hint("merge"), keys, "left_semi")]
         for past, _ in old:
-            hits += [fresh.join(past.select(*keys), keys, "left_semi"), past.join(fresh.select(*keys), keys, "left_semi")]
+            hits += [fresh.join(past.select(*keys).hint("merge"), keys, "left_semi"), past.join(fresh.select(*keys).hint("merge"), keys, "left_semi")]
         every = sorted({*common, *(fp for _, fps in old for fp in fps)})
         if every:  # salted in one run and perhaps not in another
             now = [r["fp"] for r in fresh.join(self._of(every), "fp", "left_semi").select("fp").distinct().collect()]
@@ -309,17 +322,23 @@ class WindowIndex:
         return self._dealt(places, "id").groupBy("id").agg(F.collect_set("pos").alias("active"))
 
     def compact(self) -> None:
-        """Merges all runs into one, sorted by file, and commits it. What goes is dropped after that."""
+        """Merges all runs into one, sorted by file, without what is past, and commits it. What goes is deleted after that."""
         st = self.state
         st["made"] += 1
-        self.compactions += 1
-        name, old = f"run{st['made']}", [r["name"] for r in st["runs"]]
-        common = sorted({fp for r in st["runs"] for fp in r["common"]})
-        rows = reduce(DataFrame.unionByName, [self.run(r).select("fp", "id", "pos") for r in old])
-        self._write(self._dealt(self._salted(rows, common), "fp", "salt"), name, ["fp", "salt"], ["fp", "salt"])
-        st["runs"] = [{"name": name, "common": common}]
+        name, old = f"run{st['made']}", st["runs"]
+        common = sorted({fp for r in old for fp in r["common"]})
+        rows = reduce(DataFrame.unionByName, [self.run(r["name"]).select("fp", "id", "pos") for r in old])
+        past = [self.spark.read.schema(f"fp bigint, id {self.kind}, pos int").parquet(f"{self.base}/{r['past']}") for r in old if r["past"]]
+        rows = self._salted(rows, common)
+        if past:
+            rows = rows.join(self._salted(reduce(DataFrame.unionByName, past), common).hint("merge"), ["fp", "salt", "id", "pos"], "left_anti")
+        self._write(rows.select("fp", "salt", "id", "pos"), name, ["fp", "salt"], ["fp", "salt"])
+        st["runs"] = [{"name": name, "common": common, "past": None}]
         self._commit()
-        self._drop(*old)
+        self._drop(*(r["name"] for r in old))
+        for r in old:
+            if r["past"]:
+                self.files.delete(f"{self.base}/{r['past']}")
 
     def _commit(self) -> None:
         self.files.commit(f"{self.base}/manifest.{self.version + 1}", json.dumps(self.state))
@@ -333,7 +352,7 @@ def _splits(docs: DataFrame, id_col: str, batches: int) -> list:
     return sorted({x for x in got or [] if x is not None})
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, batches: int = 4, fan: int = 2, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, gram: int = 8, batches: int = 3, fan: int = 1, with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256 (and kept_text).
 
     A window is ``window`` consecutive words, unchanged, of one text; every word in a window whose words

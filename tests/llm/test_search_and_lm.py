@@ -61,19 +61,28 @@ def test_around_stays_in_its_document():
     assert got.T.tolist() == [[0, 0, 2, 0], [0, 1, 0, 0], [0, 0, 4, 5], [0, 3, 5, 6], [3, 4, 6, 0], [4, 5, 0, 0]]
 
 
+def test_find():
+    r = np.random.default_rng(1)
+    close = (np.uint64(7) << np.uint64(60)) + np.arange(50, dtype=np.uint64) * np.uint64(3)  # all with the same first bits
+    for head in (np.zeros(0, np.uint64), np.sort(r.integers(0, 2**64, 3000, dtype=np.uint64)), close, np.array([0, 2**64 - 1], np.uint64)):
+        words = np.concatenate([head, r.integers(0, 2**64, 500, dtype=np.uint64), close, close + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        place = {int(w): i for i, w in enumerate(head)}
+        assert lm.find(words, head, lm.lookup(head)).tolist() == [place.get(int(w), -1) for w in words]
+
+
 def test_slopes():
     """Gradient and Hessian of the log-likelihood by the gains, against differences."""
     r = np.random.default_rng(0)
-    weights, bias, near, target = r.normal(size=(12, 5)), r.normal(size=5), np.stack([r.integers(0, 6, 40), r.integers(6, 12, 40)]), r.integers(0, 5, 40)
-    gains = np.array([0.9, 0.5, 0.7])
-    net = lambda g: lm.Network(weights * np.repeat(g[1:], 6)[:, None], bias * g[0])
+    weights, bias, near, target = r.normal(size=(24, 5)), r.normal(size=5), r.integers(0, 6, (4, 40)) + np.arange(4)[:, None] * 6, r.integers(0, 5, 40)
+    gains, places = np.array([0.9, 0.5, 0.7]), [-2, -1, 1, 2]
+    net = lambda g: lm.Network(weights * np.repeat([g[2], g[1], g[1], g[2]], 6)[:, None], bias * g[0])
     value = lambda g: np.log(net(g).probabilities(near)[np.arange(40), target]).sum(dtype=float)
     plain = lm.Network(weights, bias)
-    got = plain.slopes(near, target, gains)
+    got = plain.slopes(near, target, gains, places)
     e = np.eye(3) * 1e-2
     assert np.allclose(got[:, 0], [(value(gains + x) - value(gains - x)) / 2e-2 for x in e], atol=2e-2)
     for i, x in enumerate(e):
-        change = plain.slopes(near, target, gains + x)[:, 0] - plain.slopes(near, target, gains - x)[:, 0]
+        change = plain.slopes(near, target, gains + x, places)[:, 0] - plain.slopes(near, target, gains - x, places)[:, 0]
         assert np.allclose(-change / 2e-2, got[:, 1 + i], atol=5e-2)
 
 
@@ -116,14 +125,15 @@ def slow_model(texts, rounds_of, c):
     bias = np.log(share)
     weights = np.log((met + 5 * share) / (met.sum(axis=1, keepdims=True) + 5)) - bias
     soft = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-    gains, gradient, hessian = np.array([1.0] + [c.gain] * places), np.zeros(places + 1), 10 * np.eye(places + 1)
+    far = [abs(d) for d in range(-c.reach, c.reach + 1) if d]
+    gains, gradient, hessian = np.array([1.0] + [c.gain] * c.reach), np.zeros(c.reach + 1), 10 * np.eye(c.reach + 1)
     for x, y in sights(0):
-        f = np.stack([bias, *weights[x]])
+        f = np.stack([bias, *(sum(weights[i] for i, d in zip(x, far) if d == e) for e in range(1, c.reach + 1))])
         p = soft(gains @ f)
         gradient += f[:, y] - f @ p
         hessian += (f * p) @ f.T - np.outer(f @ p, f @ p)
     gains = np.clip(gains + np.linalg.solve(hessian, gradient), 0, 2)
-    bias, weights = bias * gains[0], weights * np.repeat(gains[1:], c.inputs)[:, None]
+    bias, weights = bias * gains[0], weights * np.repeat(gains[far], c.inputs)[:, None]
     there, thought = np.zeros_like(weights), np.zeros_like(weights)
     for x, y in sights(1):
         there[x, y] += 1
