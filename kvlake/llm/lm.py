@@ -75,6 +75,26 @@ def sums_by(rows: np.ndarray, values: np.ndarray, out: np.ndarray) -> None:
     out[rows[order][first]] += np.add.reduceat(values[order], first, axis=0)
 
 
+def turned(p: np.ndarray, strip: int = 256) -> np.ndarray:
+    """The transpose, in order, strip by strip: so much at a time stays in the cache."""
+    out = np.empty(p.shape[::-1])
+    for a in range(0, len(p), strip):
+        out[:, a : a + strip] = p[a : a + strip].T
+    return out
+
+
+def raised(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z, e to its power, and the sums of its rows. z is moved row by row first where it would leave what floats hold."""
+    if z.size and z.max() < 60:
+        e = np.exp(z)
+        total = e.sum(axis=1)
+        if total.min() > 1e-30:
+            return z, e, total
+    z = z - z.max(axis=1, keepdims=True)
+    e = np.exp(z)
+    return z, e, e.sum(axis=1)
+
+
 class Network:
     """The sum of the input rows and the bias, softmax over the classes."""
 
@@ -83,12 +103,11 @@ class Network:
 
     def odds(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """near: input rows by place. Logs of odds of every class, the odds, and their sums."""
-        z = self.bias + self.weights[near[0]]
+        z = self.weights[near[0]]
+        z += self.bias
         for row in near[1:]:
             z += self.weights[row]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        return z, e, e.sum(axis=1)
+        return raised(z)
 
     def probabilities(self, near: np.ndarray) -> np.ndarray:
         _, e, total = self.odds(near)
@@ -103,9 +122,8 @@ class Network:
             own = [self.weights[row] for row, place in zip(near, places) if abs(place) == d]
             f.append(sum(own[1:], own[0]))
         p = np.float32(gains[0]) * self.bias + sum(np.float32(g) * x for g, x in zip(gains[1:], f))
-        p -= p.max(axis=1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        _, p, total = raised(p)
+        p /= total[:, None]
         at = np.arange(len(target))
         parts = [p * x for x in f]
         means = np.stack([p @ self.bias, *(x.sum(axis=1) for x in parts)]).astype(float)
@@ -380,7 +398,7 @@ def _scaled(docs: DataFrame, text_col: str, scratch: Scratch, model: Model, shar
         near, klass = m.seen(words, first)
         for a in range(0, len(words), c.chunk):
             x = near[:, a : a + c.chunk]
-            p = np.ascontiguousarray(net.probabilities(x).T, dtype=float)
+            p = turned(net.probabilities(x))
             for i, row in enumerate(x - np.arange(len(x))[:, None] * c.inputs):
                 own = out[rows + i * c.inputs : rows + (i + 1) * c.inputs]
                 for j in range(c.classes):

@@ -61,6 +61,17 @@ def test_around_stays_in_its_document():
     assert got.T.tolist() == [[0, 0, 2, 0], [0, 1, 0, 0], [0, 0, 4, 5], [0, 3, 5, 6], [3, 4, 6, 0], [4, 5, 0, 0]]
 
 
+def test_odds_of_any_size():
+    """Also where e to the power of a weight is more, or less, than a float holds."""
+    for shift in (0, 300, -300):
+        z = np.array([[1.0, 2.0, 3.0], [0.0, -400.0, 5.0]], np.float32) + np.float32(shift)
+        z, e, total = lm.raised(z)
+        p = e / total[:, None]
+        assert np.allclose(p, [[0.09003, 0.24473, 0.66524], [0.00669, 0, 0.99331]], atol=1e-4)
+        assert np.allclose(z[:, 2] - np.log(total), np.log(p[:, 2]), atol=1e-4)
+    assert np.allclose(lm.turned(np.arange(12.0).reshape(4, 3), 3), np.arange(12.0).reshape(4, 3).T)
+
+
 def test_find():
     r = np.random.default_rng(1)
     close = (np.uint64(7) << np.uint64(60)) + np.arange(50, dtype=np.uint64) * np.uint64(3)  # all with the same first bits
