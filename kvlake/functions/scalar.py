@@ -30,14 +30,16 @@ def record_size(key: Column, value: Column) -> Column:
 
 
 def number_in(name: Column, prefix: str, suffix: str = "") -> Column:
-    """The number in names like prefix<n>suffix; null for other names."""
-    esc = lambda s: s.replace(".", "\\.")
-    text = F.regexp_extract(name, f"^{esc(prefix)}([0-9]+){esc(suffix)}$", 1)
-    return F.when(text != "", text.cast("long"))
+    """The number in names like prefix<n>suffix; null for other names. A name of that form whose number can't be read is an
+    error; what ends in .tmp is not yet committed and no such name."""
+    middle = F.substring(name, F.lit(len(prefix) + 1), F.length(name) - len(prefix + suffix))
+    ours = name.startswith(prefix) & name.endswith(suffix) & ~name.endswith(".tmp") & (F.length(name) >= len(prefix + suffix))
+    bad = F.raise_error(F.concat(F.lit("no number in the name "), name)).cast("long")
+    return F.when(ours, F.when(middle.rlike("^[0-9]{1,18}$"), middle.cast("long")).otherwise(bad))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """The number of leading characters that both share."""
+    """The number of leading characters that both share, by halving: a comparison for each bit of the number."""
     n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
-    return F.when(n > 0, F.size(same)).otherwise(0)
+    longer = lambda k, bit: F.when((k + bit <= n) & (F.substring(a, F.lit(1), k + bit) == F.substring(b, F.lit(1), k + bit)), k + bit).otherwise(k)
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(MAX_KEY.bit_length()))]), F.lit(0), longer)

@@ -31,12 +31,15 @@ def replay(log: DataFrame, applied_until: int, order: str = "pos", block: int =
     return kept.where(F.col("key").isNotNull()).withColumn("value", applied(F.col("type"), F.col("value")))
 
 
-def append(log_end: int, batch: DataFrame, order: list[str]) -> DataFrame:
-    """Gives the batch the sequences after log_end, in the given order: rows are numbered within the
-    partitions of a range sort, which is written, and move up by the counts of the partitions before."""
-    spark = batch.sparkSession
+def placed(batch: DataFrame, order: list[str]) -> DataFrame:
+    """The batch range-sorted and written, with the partition and the row of each record."""
     number = F.monotonically_increasing_id()  # the partition in the upper bits, the row in the lower 33
-    placed = written(batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", number), "append")
+    return written(batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", number), "append")
+
+
+def numbered(log_end: int, placed: DataFrame) -> DataFrame:
+    """Gives placed records the sequences after log_end: rows move up by the counts of the partitions before."""
+    spark = placed.sparkSession
     placed = placed.select("*", F.shiftright("__m", 33).cast("int").alias("__p"))
     counts = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, log_end
@@ -44,12 +47,17 @@ def append(log_end: int, batch: DataFrame, order: list[str]) -> DataFrame:
         offsets[p] = total
         total += counts[p]
     if not offsets:
-        return batch.withColumn("seq", F.lit(None).cast("long"))
+        return placed.drop("__p", "__m").withColumn("seq", F.lit(None).cast("long"))
     first = spark.createDataFrame(list(offsets.items()), "__p int, __o long")
     inside = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return placed.join(F.broadcast(first), "__p").withColumn("seq", F.col("__o") + inside).drop("__p", "__o", "__m")
 
 
+def append(log_end: int, batch: DataFrame, order: list[str]) -> DataFrame:
+    """Gives the batch the sequences after log_end, in the given order."""
+    return numbered(log_end, placed(batch, order))
+
+
 def seq_violations(log: DataFrame, order: str = "pos", block: int = 1_000_000) -> DataFrame:
     """Records whose seq is below one before them."""
     return with_running_max(log, "seq", order, block, "prev").where("seq < prev")
@@ -68,7 +76,7 @@ def verify(log: DataFrame) -> DataFrame:
 
 
 def list_segments(names: DataFrame) -> DataFrame:
-    """Names wal-<n>.log with their start, by number; other names are left out."""
+    """Names wal-<n>.log with their start, by number; other names are left out, but wal-x.log is an error."""
     return names.select("name", number_in(F.col("name"), "wal-", ".log").alias("start_seq")).where("start_seq is not null").orderBy("start_seq")
 
 
@@ -81,7 +89,8 @@ def truncatable(segments: DataFrame, applied_until: int) -> DataFrame:
 
 def rollover(log: DataFrame, target: int, by: str, order: str = "seq") -> DataFrame:
     """The segment of each record: named by its first seq; a record opens a new one if the current segment
-    is over target before it. Every log (by) is folded in order by itself, in batches."""
+    is over target before it. Every log (by) is folded in order by itself, in batches: where a segment begins depends on all
+    before it, so one task reads one log, a batch at a time."""
     names = [by, order, "size", "segment"]
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
+import zlib
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ def max_applied(runs: DataFrame) -> DataFrame:
 
 
 def latest_manifest(names: DataFrame) -> DataFrame:
-    """The name with the highest number, compared as a number."""
+    """The name with the highest number, compared as a number. A number that can't be read is an error."""
     n = names.select("name", number_in(F.col("name"), "descriptor.").alias("version")).where("version is not null")
     return n.agg(F.max_by("name", "version").alias("name"), F.max("version").alias("version"))
 
@@ -38,8 +41,9 @@ class Files:
     """The file operations that manifests need, on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, base: str):
-        self.jvm = spark._jvm
-        self.fs = self._path(base).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        self.gateway, self.jvm = spark.sparkContext._gateway, spark._jvm
+        self.conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self.fs = self._path(base).getFileSystem(self.conf)
 
     def _path(self, p: str):
         return self.jvm.org.apache.hadoop.fs.Path(p)
@@ -57,16 +61,30 @@ class Files:
         finally:
             s.close()
 
+    def move(self, source: str, target: str) -> None:
+        """One rename; a target that exists is an error, and never moved into, whoever made it and when."""
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        never = self.gateway.new_array(kind, 1)
+        never[0] = kind.NONE
+        where = self.fs.makeQualified(self._path(target))
+        try:
+            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.conf).rename(self.fs.makeQualified(self._path(source)), where, never)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise FileExistsError(target) from None
+            raise
+
     def commit(self, path: str, text: str) -> None:
         """Writes beside, then renames; a path that exists is an error."""
-        if self.fs.exists(self._path(path)):
-            raise FileExistsError(path)
-        tmp = self._path(f"{path}.tmp")
-        s = self.fs.create(tmp, True)
+        tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+        s = self.fs.create(self._path(tmp), True)
         s.write(bytearray(text.encode()))
         s.close()
-        if not self.fs.rename(tmp, self._path(path)):
-            raise FileExistsError(path)
+        try:
+            self.move(tmp, path)
+        except FileExistsError:
+            self.delete(tmp)
+            raise
 
     def delete(self, path: str) -> None:
         self.fs.delete(self._path(path), True)
@@ -84,7 +102,7 @@ class Manifest:
     @staticmethod
     def load(files: Files, folder: str, version: int | None = None) -> Manifest:
         """Of the given or the highest version; none yet: empty. A name whose number can't be read is an
-        error, and so is a version that isn't there."""
+        error, and so are a version that isn't there and a file whose length or checksum is not the one it begins with."""
         found = []
         for name, _ in files.names(folder):
             if name.startswith("descriptor.") and not name.endswith(".tmp"):
@@ -94,13 +112,23 @@ class Manifest:
         if not found:
             return Manifest()
         version = max(found) if version is None else version
-        return Manifest(version, json.loads(files.read(f"{folder}/descriptor.{version}")))
+        path = f"{folder}/descriptor.{version}"
+        head, _, data = files.read(path).partition("\n")
+        try:
+            want = json.loads(head)
+            whole = want == {"length": len(data.encode()), "crc32": zlib.crc32(data.encode())}
+        except ValueError:
+            whole = False
+        if not whole:
+            raise ValueError(f"{path} is damaged")
+        return Manifest(version, json.loads(data))
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """version, place, run, applied_until: a row per run."""
         return spark.createDataFrame([(self.version, i, r["run"], r["applied_until"]) for i, r in enumerate(self.runs)], "version long, place int, run string, applied_until long")
 
     def save(self, files: Files, folder: str) -> None:
-        files.commit(f"{folder}/descriptor.{self.version + 1}", json.dumps(self.runs))
+        data = json.dumps(self.runs)
+        files.commit(f"{folder}/descriptor.{self.version + 1}", json.dumps({"length": len(data.encode()), "crc32": zlib.crc32(data.encode())}) + "\n" + data)
         self.version += 1
         files.delete(f"{folder}/descriptor.{self.version - 2}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import NOT_FOUND, OK, key_status
+from . import log
 
 
 def _first(df: DataFrame, *order: Column) -> DataFrame:
@@ -37,13 +38,15 @@ def live_view(df: DataFrame) -> DataFrame:
 
 
 def layered(df: DataFrame) -> DataFrame:
-    """Of each key the version in the upper-most layer (0 first) that has any, the newest one there; among
-    runs with the same ts the first. A tombstone above hides what is below, whatever its ts."""
-    return _first(df, F.asc("layer"), *_newest(df), F.asc("run"))
+    """Of each key the version in the upper-most layer (0 first) that has any, the newest one there. From layer 2 on, the
+    runs', of versions with the same ts the first run's, within a run the later seq; above, the later seq. A tombstone
+    above hides what is below, whatever its ts."""
+    return _first(df, F.asc("layer"), F.desc("ts"), F.when(F.col("layer") >= 2, F.col("run")).asc(), *_newest(df)[1:])
 
 
 def point_get(df: DataFrame, key: str) -> DataFrame:
-    """The newest visible version of one key, or no row. The key reaches the scan as a pushed filter."""
+    """The newest visible version of one key, or no row. Where the key is a stored column, as in runs, it reaches the scan
+    as a pushed filter."""
     return live_view(df.where(F.col("key") == key))
 
 
@@ -77,19 +80,13 @@ def seek_ge(df: DataFrame, key: str, ts: int) -> DataFrame:
 def sparse_index_find(probes: DataFrame, blocks: DataFrame) -> DataFrame:
     """For each probe key the least last_key that isn't below it, or null.
 
-    A forward as-of join without a range join: probes and blocks are put into one order and each probe
-    takes the least last_key that follows. The keys are cut into ranges first; each range is
-    looked through by itself, and what a range lacks comes from the next ranges' least last_keys."""
-    both = probes.select("key", F.lit(0).alias("block")).distinct().union(blocks.select(F.col("last_key").alias("key"), F.lit(1).alias("block")).distinct())
-    sample = blocks.where("last_key is not null").select("last_key").distinct().orderBy(F.xxhash64("last_key")).limit(64)
-    cuts = sorted(r["last_key"] for r in sample.collect())
-    part = F.lit(0)
-    if cuts:
-        part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("key")))
-    both = both.withColumn("part", part)
-    least = both.where("block = 1").groupBy("part").agg(F.min("key").alias("least")).collect()  # one row per range, 65 at most
-    after = {p: min((r["least"] for r in least if r["part"] > p), default=None) for p in range(len(cuts) + 1)}
-    rest = F.element_at(F.array(*[F.lit(after[p]).cast("string") for p in range(len(cuts) + 1)]), F.col("part") + 1)
+    A forward as-of join without a range join: probes and blocks are range-sorted together and written, and each probe
+    takes the least last_key that follows in its range; what a range lacks comes from the next ranges' least ones, one row
+    per range. Ranges are as many as the session's shuffle partitions."""
+    both = probes.select("key", F.lit(0).alias("block")).distinct().union(blocks.where("last_key is not null").select(F.col("last_key").alias("key"), F.lit(1).alias("block")).distinct())
+    both = log.placed(both, ["key", "block"]).withColumn("part", F.shiftright("__m", 33))
+    least = both.groupBy("part").agg(F.min(F.when(F.col("block") == 1, F.col("key"))).alias("least"))
+    rest = least.select("part", F.min("least").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("rest"))
     ahead = Window.partitionBy("part").orderBy("key", "block").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("last_key", F.coalesce(F.min(F.when(F.col("block") == 1, F.col("key"))).over(ahead), rest))
-    return found.where("block = 0").select("key", "last_key")
+    found = both.withColumn("own", F.min(F.when(F.col("block") == 1, F.col("key"))).over(ahead)).where("block = 0").join(rest, "part")
+    return found.select("key", F.coalesce("own", "rest").alias("last_key"))

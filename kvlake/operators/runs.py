@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import common_prefix
 from ..schema import RESTART
+from .log import numbered, placed
 
 
 def ordered(df: DataFrame, files: int) -> DataFrame:
@@ -55,16 +56,25 @@ def list_blocks(df: DataFrame) -> DataFrame:
 
 
 def prefix_encode(df: DataFrame, by: str = "run", restart: int = RESTART) -> DataFrame:
-    """Each run's distinct keys with the length they share with the key before, none at a restart."""
-    order = Window.partitionBy(by).orderBy("key")
-    keys = df.select(by, "key").distinct().withColumn("n", F.row_number().over(order)).withColumn("prev", F.lag("key").over(order))
-    shared = F.when((F.col("n") - 1) % restart == 0, 0).otherwise(common_prefix(F.col("prev"), F.col("key"))).cast("long")
-    return keys.select(by, "key", F.col("n").cast("long").alias("n"), shared.alias("shared")).withColumn("suffix", F.expr("substring(key, cast(shared as int) + 1)"))
+    """Each run's distinct keys, numbered by a range sort, with the length they share with the key before, none at a
+    restart. Only the keys of one restart group meet in a window, so a run is coded by many tasks."""
+    keys = numbered(0, placed(df.select(by, "key").distinct(), [by, "key"]))
+    first = keys.groupBy(by).agg(F.min("seq").alias("__first"))
+    keys = keys.join(first, by).withColumn("n", F.col("seq") - F.col("__first") + 1).withColumn("__g", F.floor((F.col("n") - 1) / restart))
+    before = F.lag("key").over(Window.partitionBy(by, "__g").orderBy("n"))
+    shared = F.when(F.col("prev").isNull(), 0).otherwise(common_prefix(F.col("prev"), F.col("key"))).cast("long")
+    return keys.withColumn("prev", before).select(by, "key", "n", shared.alias("shared")).withColumn("suffix", F.expr("substring(key, cast(shared as int) + 1)"))
 
 
 def prefix_decode(df: DataFrame, by: str = "run", restart: int = RESTART) -> DataFrame:
-    """Inverts prefix_encode: within a restart group, keys are rebuilt one from the other."""
+    """Inverts prefix_encode: within a restart group, keys are rebuilt one from the other. A key that shares more than
+    the one before it has is an error."""
     group = df.withColumn("g", F.floor((F.col("n") - 1) / restart)).groupBy(by, "g").agg(F.sort_array(F.collect_list(F.struct("n", "shared", "suffix"))).alias("rows"))
-    step = lambda acc, r: F.concat(acc, F.array(F.concat(F.substring(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit(1), r["shared"].cast("int")), r["suffix"])))
+
+    def step(done, r):
+        before = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))
+        whole = r["shared"].between(0, F.length(before))
+        return F.concat(done, F.array(F.when(whole, F.concat(F.substring(before, F.lit(1), r["shared"].cast("int")), r["suffix"])).otherwise(F.raise_error(F.lit("the coded keys are damaged")))))
+
     keys = F.aggregate("rows", F.array().cast("array<string>"), step)
     return group.select(by, F.explode(keys).alias("key"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import INVALID, applied, key_status, value_status
 from ..operators import log, manifest, read, runs, workload
 from ..operators.manifest import Manifest
-from ..schema import DELETE
+from ..schema import DELETE, Options
 from ..sources.shared import new_folder
 from ..sources.tables import mutations
 from .engine import Engine
@@ -42,6 +42,13 @@ def mut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations(table(spark, sf_dir, "events"))
 
 
+def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows as a run: range-partitioned and sorted, with Bloom filters."""
+    path = new_folder(spark, "run")
+    runs.write_run(rows, path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 RANK = "row_number() over (partition by key order by ts desc, seq desc) as rn"
 
 
@@ -55,7 +62,7 @@ def latest_version(spark, sf):
     return read.latest_version(mut(spark, sf)).select("key", "ts", "value")
 
 
-@query(f"{MUT} select key, ts, value from (select *, row_number() over (partition by key order by layer, ts desc, seq desc, run) as rn from mut) where rn = 1 and value is not null")
+@query(f"{MUT} select key, ts, value from (select *, row_number() over (partition by key order by layer, ts desc, case when layer >= 2 then run end, seq desc) as rn from mut) where rn = 1 and value is not null")
 def layered_get(spark, sf):
     return read.live(read.layered(mut(spark, sf))).select("key", "ts", "value")
 
@@ -67,7 +74,8 @@ def as_of_get(spark, sf):
 
 @query(f"{MUT} select key, ts, value from (select *, {RANK} from mut where key = '42') where rn = 1 and value is not null")
 def point_get(spark, sf):
-    return read.point_get(mut(spark, sf), "42").select("key", "ts", "value")
+    """Against a written run, whose scan gets the key as a filter."""
+    return read.point_get(stored(spark, mut(spark, sf)), "42").select("key", "ts", "value")
 
 
 @query(f"""{MUT}, probes as (select distinct cast(c_custkey % 400 as varchar) as key from customer union all select ''),
@@ -106,7 +114,8 @@ def run_scan(spark, sf):
 
 @query(f"{MUT} select key, ts, value from (select *, {RANK} from mut where run = 3 and key = '7') where rn = 1")
 def run_get(spark, sf):
-    return read.latest_version(mut(spark, sf).where("run = 3 and key = '7'")).select("key", "ts", "value")
+    """Against run 3 as written."""
+    return read.latest_version(stored(spark, mut(spark, sf).where("run = 3")).where("key = '7'")).select("key", "ts", "value")
 
 
 @query(f"""{MUT}, keys as (select distinct key, row_number() over (order by key) as n from (select distinct key from mut)),
@@ -218,7 +227,10 @@ def log_append(spark, sf):
     return log.append(500, mut(spark, sf).select("key", "ts"), ["ts", "key"])
 
 
-@query()
+@query(f"""{MUT.replace("with mut", "with recursive mut", 1)}, s as (select run, seq, strlen(key) + coalesce(strlen(value), 0) + 8 as size, row_number() over (partition by run order by seq) as n from mut),
+    f as (select run, n, seq, size, size as held, seq as segment from s where n = 1 union all
+        select s.run, s.n, s.seq, s.size, case when f.held > 2000 then s.size else f.held + s.size end, case when f.held > 2000 then s.seq else f.segment end from f join s on s.run = f.run and s.n = f.n + 1)
+    select run, seq, size, segment from f""")
 def log_rollover(spark, sf):
     return log.rollover(mut(spark, sf), 2000, "run")
 
@@ -307,8 +319,8 @@ def key_range(spark, sf):
 
 
 def store(spark: SparkSession, sf_dir: str) -> Engine:
-    """Even events are written and flushed, odd ones stay in the log."""
-    db, m = Engine(spark, new_folder(spark, "store")), mut(spark, sf_dir)
+    """Even events are written and flushed, odd ones stay in the log, however large they are."""
+    db, m = Engine(spark, Options(new_folder(spark, "store"), flush_bytes=1 << 62)), mut(spark, sf_dir)
     db.write(m.where("seq % 2 = 1").select("key", "type", "ts", "value"))
     db.flush(force=True)
     db.write(m.where("seq % 2 = 0").select("key", "type", "ts", "value"))

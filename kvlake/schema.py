@@ -19,6 +19,10 @@ RUN = T.StructType([T.StructField("key", T.StringType()), T.StructField("ts", T.
 
 @dataclass(frozen=True)
 class Options:
+    """flush_bytes: unflushed records above which a write flushes; segment_bytes: of records in one file of a segment, about;
+    compact_above: runs above which a flush compacts; orphan_age_s: before which nothing is deleted; hold_s: how long a
+    hold that was never released keeps its files."""
+
     base: str
     flush_bytes: int = 16 << 20
     segment_bytes: int = 8 << 20
@@ -26,6 +30,7 @@ class Options:
     rows_per_run_file: int = 5_000_000
     bloom_keys: int = 1_000_000
     orphan_age_s: int = 300
+    hold_s: int = 86_400
 
     @property
     def runs(self) -> str:
@@ -35,6 +40,10 @@ class Options:
     def log(self) -> str:
         return f"{self.base}/log"
 
+    @property
+    def holds(self) -> str:
+        return f"{self.base}/holds"
+
     @property
     def manifests(self) -> str:
         return f"{self.base}/manifest"

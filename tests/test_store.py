@@ -1,5 +1,6 @@
 """Case tables of the key-value model, the store's life cycle, streams."""
 
+import hashlib
 import os
 import random
 
@@ -108,10 +109,13 @@ def test_append_is_gapless(spark):
 
 
 def test_names_and_manifests(spark):
-    names = ["wal-10.log", "wal-9.log", "wal-x.log", "other", "wal-3.logs", "descriptor.9", "descriptor.57", "descriptor.tmp"]
+    names = ["wal-10.log", "wal-9.log", "other", "wal-3.logs", "descriptor.9", "descriptor.57", "descriptor.58.tmp"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert [r.name for r in log.list_segments(df).collect()] == ["wal-9.log", "wal-10.log"]
     assert manifest.latest_manifest(df).first().name == "descriptor.57"
+    for bad, listed in (("wal-x.log", log.list_segments), ("wal-.log", log.list_segments), ("descriptor.x", manifest.latest_manifest)):
+        with pytest.raises(Exception, match="no number in the name"):
+            listed(df.union(spark.createDataFrame([(bad,)], "name string"))).collect()
     seg = spark.createDataFrame([(1,), (10,), (20,)], "start_seq long")
     assert [r.start_seq for r in log.truncatable(seg, 10).collect()] == [] and [r.start_seq for r in log.truncatable(seg, 11).collect()] == [1]
 
@@ -127,8 +131,11 @@ def test_sparse_index_and_prefix(spark):
     coded = runs.prefix_encode(df)
     assert sorted((x.run, x.key) for x in runs.prefix_decode(coded).collect()) == sorted((i % 3, w) for i, w in enumerate(words))
     assert coded.where("(n - 1) % 16 = 0 and shared > 0").count() == 0
-    pair = spark.createDataFrame([("abc", "abd"), ("", "a"), ("ab", "ab"), ("é", "éa")], "a string, b string")
-    assert [x[0] for x in pair.select(common_prefix(F.col("a"), F.col("b"))).collect()] == [2, 0, 2, 1]
+    with pytest.raises(Exception, match="the coded keys are damaged"):
+        runs.prefix_decode(coded.withColumn("shared", F.when(F.col("n") == 5, 99).otherwise(F.col("shared")))).collect()
+    pair = spark.createDataFrame([("abc", "abd"), ("", "a"), ("ab", "ab"), ("é", "éa"), ("x" * 4096, "x" * 4095 + "y"), ("x" * 4096, "x" * 4096)], "a string, b string")
+    assert [x[0] for x in pair.select(common_prefix(F.col("a"), F.col("b"))).collect()] == [2, 0, 2, 1, 4095, 4096]
+    assert read.sparse_index_find(spark.createDataFrame([("a",)], "key string"), spark.createDataFrame([], "last_key string")).collect() == [("a", None)]
 
 
 def test_workload(spark):
@@ -144,17 +151,130 @@ def test_workload(spark):
 
 
 def test_bloom_filter_false_positives(spark, tmp_path):
-    """No key that is there is missed; keys that aren't are absent."""
+    """The filter in the written file has every key and at most 2 % of 5,000 others, and a lookup reads no row group without it."""
     df = spark.range(16_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id").alias("ts"), F.lit(None).cast("binary").alias("value"))
     runs.write_run(df, str(tmp_path / "r"), bloom_keys=16_000)
+    parquet, file = spark._jvm.org.apache.parquet, next((tmp_path / "r").glob("part-*.parquet"))
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    reader = parquet.hadoop.ParquetFileReader.open(parquet.hadoop.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(str(file)), conf))
+    blocks = reader.getFooter().getBlocks()
+    assert blocks.size() == 1
+    bloom = reader.readBloomFilter(blocks.get(0).getColumns().get(0))
+    has = lambda key: bloom.findHash(bloom.hash(parquet.io.api.Binary.fromString(key)))
+    key = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    assert all(has(key(i)) for i in range(0, 16_000, 20))
+    absent = [i for i in range(20_000, 25_000) if has(key(i))]
+    assert len(absent) <= 0.02 * 5_000
+    reader.close()
     back = spark.read.parquet(str(tmp_path / "r"))
-    key = df.where("id = 77").first().key if "id" in df.columns else df.first().key
-    assert back.where(F.col("key") == key).count() == 1 and back.where(F.col("key") == "no").count() == 0
+    assert back.where(F.col("key") == key(77)).count() == 1
+
+    def read_rows(k):
+        found = back.where(F.col("key") == k)
+        assert found.collect() == []
+        return found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert sum(read_rows(key(i)) for i in range(20_000, 20_020) if i not in absent) == 0
+
+
+def test_layers_of_runs_with_equal_times(spark):
+    """Among runs the first wins, whatever the sequences; above them, and within a run, the later sequence."""
+    rows = [("a", 5, 2, 0, 1, "old"), ("a", 5, 2, 1, 2, "new"), ("b", 5, 0, 0, 1, "old"), ("b", 5, 0, 1, 2, "new"), ("c", 5, 2, 3, 8, "late"), ("c", 5, 2, 3, 7, "early"), ("c", 4, 2, 0, 9, "older")]
+    df = spark.createDataFrame(rows, "key string, ts long, layer int, run int, seq long, value string")
+    assert {r.key: r.value for r in read.layered(df).collect()} == {"a": "old", "b": "new", "c": "late"}
+
+
+def test_a_get_reads_little(spark, tmp_path):
+    """The key reaches the scans of the log and of the runs; applied segments are not read; nothing is sorted beforehand."""
+    db = Engine(spark, str(tmp_path / "db"))
+    for i in range(3):
+        db.set(f"k{i}", b"x")
+        if i == 1:
+            db.flush(force=True)
+    rows = db.versions().where(F.col("key") == "k2")
+    plan = rows._jdf.queryExecution().toString()
+    physical = plan.split("== Physical Plan ==")[1]
+    assert physical.count("EqualTo(key,k2)") == 2 and physical.count("FileScan parquet") == 2 and "GreaterThan(seq,2)" in physical
+    assert "Exchange" not in physical and "Window" not in physical
+    assert {f.split("/")[-2] for f in db.delta().inputFiles()} == {"wal-3.log"}
+    assert db.get("k2")[1] == b"x" and db.get("k0")[1] == b"x"
+
+
+def test_writes_flush_and_compact(spark, tmp_path):
+    """300 keys in small batches with tiny limits: every earlier key stays readable, runs and segments stay few."""
+    db = Engine(spark, Options(str(tmp_path / "db"), flush_bytes=2_000, segment_bytes=400, compact_above=3, orphan_age_s=0))
+    want = {}
+    for i in range(0, 300, 30):
+        rows = [(str(j), "PUT", j, bytearray(bytes([j % 256]) + b"x" * 99)) for j in range(i, i + 30)]
+        db.write(spark.createDataFrame(rows, "key string, type string, ts long, value binary"))
+        want |= {str(j): j % 256 for j in range(i, i + 30)}
+        assert {r.key: r.value[0] for r in db.view().collect()} == want
+        assert len(db.manifest.runs) <= 3
+    assert db.manifest.applied_until == db.seq == 300 and db.unflushed == 0
+    assert len(db._segments()) <= 2 and len(os.listdir(tmp_path / "db" / "runs")) <= 8
+    last = tmp_path / "db" / "log" / db._segments()[-1][1]
+    assert len(list(last.glob("part-*.parquet"))) >= 8, "files of some 400 bytes of records"
+    again = Engine(spark, str(tmp_path / "db"))
+    assert again.seq == 300 and again.unflushed == 0
+    again.set("more", b"1")
+    assert Engine(spark, str(tmp_path / "db")).unflushed == 13
+
+
+def test_a_batch_is_checked_as_written(spark, tmp_path):
+    """A source that turns bad between two readings doesn't get in; a bad row fails the whole batch."""
+    db = Engine(spark, str(tmp_path / "db"))
+    rows = spark.createDataFrame([("a", "PUT", 1, bytearray(b"1")), ("", "PUT", 2, bytearray(b"2"))], "key string, type string, ts long, value binary")
+    with pytest.raises(InvalidArgument):
+        db.write(rows)
+    assert db.seq == 0 and not db._segments()
+    assert db.write(rows, strict=False) == 1 and db.view().count() == 1
+    assert db.write(rows.limit(0)) == 1
+    db.files.commit(f"{db.options.log}/wal-2.log/x", "")  # another writer was faster
+    with pytest.raises(FileExistsError):
+        db.write(rows.where("key = 'a'"))
+    stage = f"{tmp_path}/db/stage"
+    db.files.commit(f"{stage}/y", "")
+    with pytest.raises(FileExistsError):
+        db.files.move(stage, f"{db.options.log}/wal-2.log")
+    assert os.listdir(tmp_path / "db" / "log" / "wal-2.log") in (["x"], [".x.crc", "x"], ["x", ".x.crc"])
+
+
+def test_holds_keep_files(spark, tmp_path):
+    db = Engine(spark, Options(str(tmp_path / "db"), orphan_age_s=0))
+    for i in range(2):
+        db.set("k", bytes([i]), ts=i)
+        db.flush(force=True)
+    with db.hold():
+        view = db.runs()
+        db.compact(force=True)
+        db.clean()
+        assert view.count() == 2
+    assert len(db.clean()) >= 2
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        view.count()
+
+
+def test_a_damaged_manifest_is_an_error(spark, tmp_path):
+    db = Engine(spark, str(tmp_path / "db"))
+    db.set("k", b"1")
+    db.flush(force=True)
+    path = tmp_path / "db" / "manifest" / "descriptor.1"
+    (path.parent / ".descriptor.1.crc").unlink(missing_ok=True)
+    whole = path.read_text()
+    for bad in (whole.replace('"applied_until": 1', '"applied_until": 9'), whole[:-3], whole.partition("\n")[2], ""):
+        path.write_text(bad)
+        with pytest.raises(ValueError, match="damaged"):
+            Engine(spark, str(tmp_path / "db"))
+    path.write_text(whole)
+    assert Engine(spark, str(tmp_path / "db")).get("k")[1] == b"1"
+    path.rename(path.parent / "descriptor.x")
+    with pytest.raises(ValueError):
+        Engine(spark, str(tmp_path / "db"))
 
 
 def test_life_cycle(spark, tmp_path):
     base = str(tmp_path / "db")
-    db = Engine(spark, Options(base, flush_bytes=1))
+    db = Engine(spark, base)
     db.set("first", b"\x01\x02")
     assert db.get("first")[1] == b"\x01\x02"
     db = Engine(spark, base)
