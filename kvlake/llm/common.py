@@ -21,8 +21,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextlib.contextmanager
 def settings(spark: SparkSession, *on: str, off: tuple[str, ...] = ()) -> Iterator[None]:
-    """Settings of the session that are true, or false, within the block."""
-    before = {k: spark.conf.get(k, "false") for k in (*on, *off)}
+    """Settings of the session that are true, or false, within the block, and after it what they were before."""
+    before = {k: spark.conf.get(k) for k in (*on, *off)}
     try:
         for k in before:
             spark.conf.set(k, "true" if k in on else "false")

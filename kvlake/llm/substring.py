@@ -274,16 +274,16 @@ class WindowIndex:
 
     # --- batches
 
-    def ingest(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+    def ingest(self, docs: DataFrame, with_text: bool = False, last: bool = False) -> DataFrame:
         """docs: id, text; all ids are above those of earlier batches. Returns id, n_words, n_removed, kept_sha256 (and
-        kept_text) as a written table, and leaves the batch in the index."""
+        kept_text) as a written table, and leaves the batch in the index, unless it is the last that the index is for."""
         st, scratch = self.state, Scratch(self.spark, "ingest")
         st["made"] += 1
-        k, last = st["made"], st["last"]
+        k, before = st["made"], st["last"]
         texts, run, past = f"texts{k}", f"run{k}", f"past{k}"
         self._write(self._dealt(docs.select("id", "text"), "id"), texts, ["id"], ["id"])
         lowest, highest, n = self.texts(texts).agg(F.min("id"), F.max("id"), F.count("*")).first()
-        if last is not None and lowest is not None and lowest <= last:
+        if before is not None and lowest is not None and lowest <= before:
             raise ValueError("ids must be above those of earlier batches")
         common = self._common(self.texts(texts), n)
         self._write(self._salted(fingerprints(self.texts(texts), self.kind, self.window, self.gram), common), run, ["fp", "salt"], ["fp", "salt"])
@@ -292,15 +292,17 @@ class WindowIndex:
             seen = [windows(self.texts(t).join(active, "id").select("id", "text", "active"), self.window, self.gram) for t in [*st["texts"], texts]]
             order = Window.partitionBy("w1", "w2").orderBy("id", "start")
             later = reduce(DataFrame.unionByName, seen).withColumn("rank", F.rank().over(order)).where("later is not null or rank > 1")
-            later = later if last is None else later.where(F.col("id") > F.lit(last))
-            marks = later.select(F.col("id").cast(self.kind).alias("id"), F.coalesce("later", F.array("start")).alias("starts"))
-            marks = self._dealt(marks, "id").groupBy("id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+            later = later if before is None else later.where(F.col("id") > F.lit(before))
+            marks = self._dealt(later.select(F.col("id").cast(self.kind).alias("id"), "start", "later"), "id").groupBy("id")
+            marks = marks.agg(F.concat(F.collect_list("start"), F.flatten(F.collect_list("later"))).alias("starts"))
             done = scratch.save(finished(self.texts(texts).join(marks, "id", "left"), self.kind, self.window, self.gram, with_text), "done")
+        if last:
+            return done.drop("past")
         few = done.select("id", F.explode("past").alias("p")).select("p.fp", "id", "p.pos").coalesce(-(-st["buckets"] // 16))
         few.write.parquet(f"{self.base}/{past}")
         st["runs"].append({"name": run, "common": common, "past": past})
         st["texts"].append(texts)
-        st["last"] = highest if highest is not None else last
+        st["last"] = highest if highest is not None else before
         if len(st["runs"]) > st["fan"]:
             self.compact()
         else:
@@ -360,7 +362,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words are joined by one space. Null and empty texts have no words. Ids must be whole numbers and differ: of
     rows that repeat an id, each is judged against smaller ids and against itself, as one text would be.
     A row without an id keeps its words, and none go on its account. Other columns are not read. An empty table
-    gives no row. The batches go through an index of their own, which is compacted once it holds more than ``fan`` runs."""
+    gives no row. The batches go through an index of their own, which is compacted once it holds more than ``fan`` runs; the
+    last batch meets it and isn't added."""
     spark = docs.sparkSession
     s = Scratch(spark, "substring")
     plain = docs.select(named(id_col).alias("id"), named(text_col).alias("text"))
@@ -371,7 +374,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     try:
         for lo, hi in zip(cuts, cuts[1:]):
             new = plain.where("id is not null") if lo is None else plain.where(F.col("id") > F.lit(lo))
-            done.append(index.ingest(new if hi is None else new.where(F.col("id") <= F.lit(hi)), with_text))
+            done.append(index.ingest(new if hi is None else new.where(F.col("id") <= F.lit(hi)), with_text, last=hi is None))
     finally:
         index.close()
         s.drop("index")
