@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, named, split_join, text_slices, word_hashes
+from .common import Scratch, mix, named, parts, split_join, text_slices, word_hashes
 
 #: 60 bands of 6 rows: a pair at similarity 0.8 shares no bucket with a chance of (1 - 0.8^6)^60 = 1e-8.
 BANDS, ROWS = 60, 6
@@ -259,9 +259,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = lambda c: F.pmod(F.xxhash64("id"), blocks(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
     mixed = scratch.save(held.join(main, "bucket").select("bucket", "id", "component", "main", "all", "rest"), "mixed")
-    rows_ = mixed.select("bucket", "id", "component", every("rest").alias("i"), own("all").alias("j"), F.lit(False).alias("asks"))
-    rows_ = rows_.union(mixed.where("component <> main").select("bucket", "id", "component", own("rest").alias("i"), every("all").alias("j"), F.lit(True).alias("asks")))
-    rows_ = rows_.join(sets, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    rows_ = mixed.select("bucket", "id", "component", "all", every("rest").alias("i"), own("all").alias("j"), F.lit(False).alias("asks"))
+    rows_ = rows_.union(mixed.where("component <> main").select("bucket", "id", "component", "all", own("rest").alias("i"), every("all").alias("j"), F.lit(True).alias("asks")))
+    p = parts(docs.sparkSession)
+    turn = F.pmod(F.hash("bucket").cast("long") + F.col("i").cast("long") * blocks("all") + F.col("j"), F.lit(p)).cast("int")  # the blocks of one bucket go round
+    rows_ = rows_.withColumn("turn", turn).join(sets, "id").repartitionById(p, "turn").sortWithinPartitions("bucket", "i", "j")
     more = scratch.save(rows_.select("bucket", "i", "j", "asks", "id", "component", "items").mapInArrow(_across(percent), f"a {kind}, b {kind}").distinct(), "links1")
     scratch.drop("sets", "mixed", "main", "buckets")
     label = scratch.save(components(links.union(more), scratch, "cc2_"), "label2")
