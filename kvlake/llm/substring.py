@@ -139,7 +139,10 @@ def windows(docs: DataFrame, window: int, gram: int, block: int = 1 << 18) -> Da
 
     def made(held: list) -> Iterator[pa.RecordBatch]:
         w1, w2, ids, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, ids, w2, w1))
+        if (np.diff(ids) < 0).any():
+            order = np.lexsort((at, ids))
+            w1, w2, ids, at = w1[order], w2[order], ids[order], at[order]
+        order = np.argsort(w1, kind="stable")  # the few that share w1 alone are told apart later
         w1, w2, ids, at = w1[order], w2[order], ids[order], at[order]
         new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))[: len(w1)]
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
