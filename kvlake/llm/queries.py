@@ -72,7 +72,32 @@ QUERIES = {f.__name__: f for f in (op1_substring, op2_near_dedup, op3_exact_dedu
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from (select doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') as w from documents)"
+
 ORACLES = {
+    "op1_substring": f"""
+        with words as ({WORDS.format(text="coalesce(text, '')")}),
+        windows as (select doc_id, p, count(*) over w as n, md5(string_agg(word, ' ') over w) as h from words
+            window w as (partition by doc_id order by p rows between current row and 19 following)),
+        ranked as (select doc_id, p, row_number() over (partition by h order by doc_id, p) as r from windows where n = 20),
+        gone as (select distinct doc_id, unnest(range(p, p + 20)) as p from ranked where r > 1),
+        told as (select doc_id, count(*) as n_words, count(g.p) as n_removed, string_agg(word, ' ' order by p) filter (g.p is null) as kept
+            from words left join gone g using (doc_id, p) group by doc_id)
+        select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from documents left join told using (doc_id)""",
+    "op2_near_dedup": f"""
+        with recursive words as ({WORDS.format(text=LOWERED)}),
+        pairs as (select doc_id, p, word, lead(word) over (partition by doc_id order by p) as following from words),
+        sets as (select distinct doc_id, word || ' ' || following as s from pairs where following is not null
+            union select doc_id, any_value(word) from words group by doc_id having count(*) = 1),
+        sizes as (select doc_id, count(*) as n from sets group by doc_id),
+        common as (select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b using (s) where a.doc_id < b.doc_id group by 1, 2),
+        links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        edges as (select a, b from links union all select b, a from links),
+        reach as (select doc_id as a, doc_id as b from documents union select r.a, e.b from reach r join edges e on r.b = e.a),
+        least as (select a as doc_id, min(b) as component_id from reach group by 1)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+        from documents left join sizes using (doc_id) join least using (doc_id)""",
     "op3_exact_dedup": f"""
         with d as (select doc_id, sha256({LOWERED}) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)

@@ -520,3 +520,19 @@ def test_column_names_of_any_characters(spark):
 def test_letters():
     assert all(langid.has_letter(t) for t in ("a", "1é", "ª", "字 2", "_b_"))
     assert not any(langid.has_letter(t) for t in ("", "12 _", "²½Ⅷ", "!? ٣", "①"))
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_against_sql(spark, name):
+    """The registered queries and their SQL in DuckDB, row by row."""
+    import os
+
+    import duckdb
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(sf):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
+    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLES[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist())) and len(got) > 0
