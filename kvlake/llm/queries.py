@@ -102,6 +102,15 @@ ORACLES = {
         with d as (select doc_id, sha256({LOWERED}) as text_sha256 from documents),
         g as (select text_sha256, max(doc_id) as keep_id, count(*) as group_size from d group by 1)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from d join g using (text_sha256)""",
+    "op4_sharding": """
+        with bits as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, n: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t),
+        d as (select doc_id, coalesce(text, '') as text, cast('0x' || substr(md5(coalesce(text, '')), 1, 15) as bigint) as key, octet_length(encode(coalesce(text, ''))) + 1 as size, hex(encode(coalesce(text, ''))) as x from documents),
+        b as (select *, list_transform(range(size - 1), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint)) as bytes from d),
+        c as (select b.* exclude (bytes, x), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, n: xor(c >> 8, t[(xor(c, n) & 255) + 1])), 4294967295) as text_crc32 from b, bits),
+        o as (select *, sum(size) over (order by key, doc_id) - size as start, sum(size) over () as total, max(size) over () as largest, sum(size) over (partition by key) as own from c),
+        p as (select *, case when own <= largest then min(start) over (partition by key) else start end as place from o),
+        s as (select *, cast(least(7, place * 8 // total) as int) as shard from p)
+        select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by key, doc_id) - 1 as slot, cast(null as int) as grown_shard from s""",
     "op7_topk": f"""
         with codes as (select vec_id, list_reduce(list_transform(range(1, 65), lambda i: if(embedding[i] > 0, '1', '0')), lambda a, b: a || b)::bit as code from embeddings),
         pairs as (select q.vec_id as query_id, d.vec_id, bit_count(xor(q.code, d.code))::int as distance from codes q, codes d where q.vec_id % 100 = 0),

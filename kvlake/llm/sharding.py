@@ -1,6 +1,6 @@
 """Sharding by sampled splitters, in DataFrame operations only.
 
-Records have a total order: hash of the text, then id. A size-weighted sample of the keys gives
+Records have a total order: 60 bits of the text's MD5, then id. A size-weighted sample of the keys gives
 splitters that cut the order into ranges of about equal bytes; a range that turns out overfull is
 sampled anew, more densely, and subdivided. The ranges' exact counts (a bounded number of rows) give
 each range its place in the whole order, and a window inside each range gives each record its exact
@@ -66,7 +66,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         named(id_col).alias("ident"),
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("key"),
+        F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long").alias("key"),
     )
     rows = scratch.save(rows, "rows")
     total, largest = (x or 0 for x in rows.agg(F.sum("size"), F.max("size")).first())
@@ -82,7 +82,9 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         heavy = rows.where(rid.isin(*over))
         size = sum(r["b"] for r in over.values())
         more = _draw(heavy, size, max(2, round(2 * size / max(ideal, 1))), 2 * per_range, again, True)
-        known = set(splitters)
+        drawn = docs.sparkSession.createDataFrame([(k,) for k in {k for k, _ in more}], "key long")
+        parted = {r["key"] for r in rows.join(F.broadcast(drawn), "key").groupBy("key").agg(F.sum("size").alias("b")).where(F.col("b") > largest).collect()}
+        more, known = {(k, i if k in parted else None) for k, i in more}, set(splitters)
         if not (new := [x for x in more if x not in known]):
             break
         splitters = _sorted({*splitters, *new})
@@ -96,7 +98,7 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
         return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), index + 1)
 
     inside, group = Window.partitionBy("rid").orderBy("key", F.col("ident").asc_nulls_first()), Window.partitionBy("rid", "key")
-    parted = F.col("key").isin([k for k, i in splitters if i is not None])  # a range may end within their groups
+    parted = F.col("key").isin([k for k, i in splitters if i is not None])  # a range may end within their groups, larger than any record
     placed = rows.withColumn("rid", _range_of(splitters, F.col("key"), F.col("ident"))).select(
         "ident",
         "size",

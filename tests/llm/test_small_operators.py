@@ -115,13 +115,26 @@ def brute_shards(rows, shards):
 def test_shard_against_brute_force(spark):
     """Small groups of copies stay whole; what is cut follows the bytes."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")).collect()
-    want = brute_shards([tuple(r) for r in rows], 8)
-    for options in ({}, {"range_bytes": 5_000, "per_range": 8}):
+    rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).alias("size"), F.coalesce("text", F.lit("")).alias("key")).collect()
+    rows = [(i, n, int(hashlib.md5(t.encode()).hexdigest()[:15], 16)) for i, n, t in rows]
+    want = brute_shards(rows, 8)
+    for options in ({}, {"range_bytes": 5_000, "per_range": 8}, {"range_bytes": 3_000, "per_range": 1}):
         assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs.repartition(5), 8, **options).collect()} == want
     assert {r.doc_id: (r.shard, r.slot) for r in queries.op4_sharding(spark, "/root/testdata/sf0.01").collect()} == want
 
 
+def test_shards_of_copies_do_not_depend_on_the_sample(spark):
+    """Groups smaller and larger than the largest record, in ranges that are cut anew."""
+    import random
+
+    r = random.Random(8)
+    texts = [w for i in range(60) for w in [f"{i} " + "x" * r.randrange(40)] * r.randrange(1, 40)] + ["y" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_shards([(i, len(t) + 1, int(hashlib.md5(t.encode()).hexdigest()[:15], 16)) for i, t in enumerate(texts)], 5)
+    for options in ({}, {"range_bytes": 700, "per_range": 1}, {"range_bytes": 300, "per_range": 2}):
+        assert {x.doc_id: (x.shard, x.slot) for x in sharding.shard(docs, 5, **options).collect()} == want
+
+
 def test_shard_hot_group(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) as text")
     shards_hold(sharding.shard(docs, 8).collect(), 8)
@@ -532,7 +545,8 @@ def test_against_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
     for f in os.listdir(sf):
         con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
-    got, want = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLES[name]).df()
+    got, want = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLES[name])
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
-    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist())) and len(got) > 0
+    rows = got.select(*columns).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, want.select(*columns).fetchall())) and rows
