@@ -279,11 +279,13 @@ class WindowIndex:
 
     def ingest(self, docs: DataFrame, with_text: bool = False, last: bool = False) -> DataFrame:
         """docs: id, text; all ids are above those of earlier batches. Returns id, n_words, n_removed, kept_sha256 (and
-        kept_text) as a written table, and leaves the batch in the index, unless it is the last that the index is for."""
+        kept_text) as a written table, and leaves the batch in the index, unless it is the last that the index is for. After
+        an error the index is to be opened again; it is then as it was before the batch."""
         st, scratch = self.state, Scratch(self.spark, "ingest")
         st["made"] += 1
         k, before = st["made"], st["last"]
         texts, run, past = f"texts{k}", f"run{k}", f"past{k}"
+        self._drop(texts, run, past)  # what a batch that failed may have left
         self._write(self._dealt(docs.select("id", "text"), "id"), texts, ["id"], ["id"])
         lowest, highest, n = self.texts(texts).agg(F.min("id"), F.max("id"), F.count("*")).first()
         if before is not None and lowest is not None and lowest <= before:
@@ -331,6 +333,7 @@ class WindowIndex:
         st = self.state
         st["made"] += 1
         name, old = f"run{st['made']}", st["runs"]
+        self._drop(name)
         common = sorted({fp for r in old for fp in r["common"]})
         rows = reduce(DataFrame.unionByName, [self.run(r["name"]).select("fp", "id", "pos") for r in old])
         past = [self.spark.read.schema(f"fp bigint, id {self.kind}, pos int").parquet(f"{self.base}/{r['past']}") for r in old if r["past"]]

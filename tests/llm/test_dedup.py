@@ -96,6 +96,31 @@ def test_index_takes_batches_after_it_was_closed(spark, documents, tmp_path):
     again.close()
 
 
+def test_a_batch_that_failed_leaves_no_trace(spark, documents, tmp_path, monkeypatch):
+    """Whichever step it fails in, the index opens as it was and takes the batch again."""
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    docs, cut = documents.select(F.col("doc_id").alias("id"), "text").repartition(2), sorted(texts)[100]
+    index = substring.WindowIndex(spark, str(tmp_path / "index"), fan=1, buckets=3)
+    got = {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.ingest(docs.where(F.col("id") < cut)).collect()}
+    index.close()
+
+    def lost(*args, **more):
+        raise RuntimeError("lost")
+
+    for where, what in ((substring.WindowIndex, "_active"), (substring, "finished"), (substring.WindowIndex, "compact"), (substring.WindowIndex, "_commit")):
+        with monkeypatch.context() as m:
+            m.setattr(where, what, lost)
+            index = substring.WindowIndex(spark, str(tmp_path / "index"))
+            with pytest.raises(RuntimeError, match="lost"):
+                index.ingest(docs.where(F.col("id") >= cut))
+            index.close()
+    index = substring.WindowIndex(spark, str(tmp_path / "index"))
+    assert index.version == 1
+    got |= {r.id: (r.n_words, r.n_removed, r.kept_sha256) for r in index.ingest(docs.where(F.col("id") >= cut)).collect()}
+    index.close()
+    assert got == brute_substring(texts)
+
+
 def test_history_holds_a_passage_once(spark, tmp_path):
     """And fingerprints that are common in a run, in history or in both are dealt out and still found."""
     r = random.Random(4)
