@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import common_prefix
-from ..schema import RESTART
+from ..schema import PAGE_ROWS, RESTART
 from .log import numbered, placed
 
 
@@ -17,11 +17,13 @@ def ordered(df: DataFrame, files: int) -> DataFrame:
     return df.repartitionByRange(files, "key", "ts").sortWithinPartitions("key", F.desc("ts"))
 
 
-def write_run(df: DataFrame, path: str, files: int = 1, bloom_keys: int = 1_000_000) -> None:
+def write_run(df: DataFrame, path: str, files: int = 1, bloom_keys: int = 1_000_000, bloom: bool = True) -> None:
+    """Pages are short and carry their least and greatest keys: a lookup reads the rows of one, as the keys are sorted."""
     (
         ordered(df, files)
-        .write.option("parquet.bloom.filter.enabled#key", "true")
+        .write.option("parquet.bloom.filter.enabled#key", str(bloom).lower())
         .option("parquet.bloom.filter.expected.ndv#key", str(bloom_keys))
+        .option("parquet.page.row.count.limit", str(PAGE_ROWS))
         .option("parquet.page.write-checksum.enabled", "true")
         .parquet(path)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 MAX_KEY, MAX_VALUE = 4096, 512 << 10
 UNSPECIFIED, PUT, DELETE = "UNSPECIFIED", "PUT", "DELETE"
 RESTART = 16
+PAGE_ROWS = 1_000  # of a page of a run; not a fixed value
 COMPACT_ABOVE = 8
 
 RECORD = T.StructType([T.StructField("key", T.StringType(), False), T.StructField("ts", T.LongType(), False), T.StructField("value", T.BinaryType())])

@@ -175,6 +175,9 @@ def test_bloom_filter_false_positives(spark, tmp_path):
         return found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
 
     assert sum(read_rows(key(i)) for i in range(20_000, 20_020) if i not in absent) == 0
+    there = back.where(F.col("key") == key(77))
+    assert there.count() == 1 and len(there.collect()) == 1
+    assert there._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value() <= 2_000, "a page or two of 16,000 rows"
 
 
 def test_layers_of_runs_with_equal_times(spark):
